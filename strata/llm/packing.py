@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: Lengths are rounded up to multiples of this in the program; offsets are then those of the true lengths.
-GRID = 8
+#: Lengths are rounded up to multiples of this in the program; offsets are always those of the true lengths.
+GRID = 1
 #: Rounds of multiplicative weights, and how fast weights move.
-ROUNDS, RATE = 1500, 0.35
+ROUNDS, RATE = 64, 0.1
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, class int, part int, place long, ids binary"
 
@@ -61,17 +61,15 @@ def configurations(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate
         return {}
     sequences = max(1.0, float((demand * np.arange(1, len(demand) + 1)).sum()) / capacity)
     found: dict[tuple[int, ...], float] = {}
-    covered, step = np.zeros(len(demand)), sequences / rounds
-    for turn in range(1, rounds + 1):
-        lag = np.full(len(demand), -np.inf)
-        lag[here] = -covered[here] / demand[here] * rounds / np.sqrt(turn) * rate
-        weight = np.where(np.isfinite(lag), np.exp(np.minimum(0, lag - lag[here].max())), 0)
-        # a price for size and one for lag: a class that is behind is worth more than the room it takes
-        size = np.arange(1, len(demand) + 1)
-        chosen = knapsack(np.where(weight > 0, size * (1 + weight), 0), capacity)
-        covered += chosen * step
+    sizes, due, lag = np.arange(1, len(demand) + 1), demand / sequences, np.zeros(len(demand))
+    for _ in range(rounds):
+        # lag: pieces each sequence so far should have held of a class, less those it did; a class that lags gains weight
+        lag += due
+        weight = np.exp(np.clip(rate * (lag - lag[here].max()), -50, 0))
+        chosen = knapsack(np.where(demand > 0, sizes * weight, 0), capacity)
+        lag -= chosen
         key = tuple(chosen.tolist())
-        found[key] = found.get(key, 0) + step
+        found[key] = found.get(key, 0) + sequences / rounds
     return found
 
 
