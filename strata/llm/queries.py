@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, tokens
+from . import common, langid, lmscore, neardup, packing, tokens, urls, vectors
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +26,56 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(spark, path)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"), shingle=2, percent=80)
+    return found.select(F.col("src.doc_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held_out = common.crc_mod("doc_id", 3) == 1
+    model = langid.train(docs, ~held_out)
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, ["doc_id", "held_out"])
+
+
+#: Fixed values of the contract: verdict, host, path.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), _tokenizer(), end_id=1)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held_out = common.crc_mod("doc_id", 7) == 2
+    return lmscore.score(docs.select("doc_id", "text", held_out.alias("held_out")), ~held_out, ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_output": op1_token_output, "op9_packing": op9_packing}
+    return {
+        "op1_token_output": op1_token_output,
+        "op2_minhash": op2_minhash,
+        "op4_language_id": op4_language_id,
+        "op7_url_filter": op7_url_filter,
+        "op8_top_k": op8_top_k,
+        "op9_packing": op9_packing,
+        "op10_lm_score": op10_lm_score,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
