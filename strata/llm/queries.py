@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, lmscore, neardup, packing, tokens, urls, vectors
+from . import common, langid, lmscore, neardup, packing, suffixes, tokens, urls, vectors
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, ["doc_id", "held_out"])
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_docs(spark, sf_dir))
+
+
 #: Fixed values of the contract: verdict, host, path.
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_output": op1_token_output,
         "op2_minhash": op2_minhash,
         "op4_language_id": op4_language_id,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_top_k": op8_top_k,
         "op9_packing": op9_packing,
