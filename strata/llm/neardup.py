@@ -15,7 +15,7 @@ still hold several components, the pairs across components; pairs inside a compo
 bucket, partner or candidate is capped, and every link is confirmed on full sets from whole texts.
 
 Result: one row per input row, with the input as struct ``src`` and n_shingles, component_id (the least doc_id
-reachable), kept (doc_id = component_id). Rows that share doc_id stay separate; a null doc_id is never a component's
+reachable), kept (doc_id = component_id) and first (one row of each group, and every row without words). Rows that share doc_id stay separate; a null doc_id is never a component's
 id unless all are null, and is then kept by none. Empty tables give empty results.
 """
 
@@ -164,9 +164,10 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int = BA
     # a class is named by a 64-bit hash of its 128-bit sum and its size
     node = F.when(F.col("n_shingles") > 0, F.xxhash64("sum_a", "sum_b", "n_shingles"))
     rows = common.materialize(signed.select("row", "src", "n_shingles", node.alias("node"), "keys"), "signed")
-    least_id = F.min(F.col(f"src.{id_column}"))
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), least_id.alias("least"), F.max("n_shingles").alias("n"))
-    reps = common.materialize(classes, "classes")
+    own = F.col(f"src.{id_column}")
+    best = F.min(F.struct(own.isNull().alias("none"), own.alias("id"), "row")).alias("best")
+    classes = rows.where("node IS NOT NULL").groupBy("node").agg(best, F.max("n_shingles").alias("n"))
+    reps = common.materialize(classes.select("node", "best", "best.row", "n"), "classes")
     keyed = reps.join(rows.select("row", "keys"), "row").select("node", "n", F.explode("keys").alias("key"))
     keyed = common.materialize(keyed, "bands")
     buckets = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
@@ -186,9 +187,10 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int = BA
     if not across.isEmpty():
         links = links.unionByName(_confirm(across, reps, rows, shingle, percent))
         named = components(links)
-    grouped = reps.select("node", "least").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    result = common.materialize(grouped.join(least, "component").select("node", "component_id"), "components")
-    own = F.col(f"src.{id_column}")
-    joined = rows.drop("keys", "row").join(result, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), own).otherwise(F.col("component_id")))
-    return joined.select("src", "n_shingles", "component_id", F.coalesce(own == F.col("component_id"), F.lit(False)).alias("kept"))
+    grouped = reps.select("node", "best").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("best").alias("least"))
+    result = common.materialize(grouped.join(least, "component").select("node", F.col("least.id").alias("component_id"), F.col("least.row").alias("first")), "components")
+    joined = rows.drop("keys").join(result, "node", "left")
+    joined = joined.withColumn("component_id", F.when(F.col("node").isNull(), own).otherwise(F.col("component_id")))
+    kept, first = F.coalesce(own == F.col("component_id"), F.lit(False)), F.col("node").isNull() | (F.col("row") == F.col("first"))
+    return joined.select("src", "n_shingles", "component_id", kept.alias("kept"), first.alias("first"))

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, lmscore, neardup, packing, suffixes, tokens, urls, vectors
+from . import common, decontaminate, langid, lmscore, neardup, packing, pii, suffixes, tokens, urls, vectors
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -22,7 +22,7 @@ def _tokenizer() -> str:
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "tokens")
-    tokens.write_tokens(_docs(spark, sf_dir), path, _tokenizer(), end_id=2)
+    tokens.write_tokens(_docs(spark, sf_dir), path, tokenizer_path(), end_id=2)
     return tokens.read_documents(spark, path)
 
 
@@ -31,6 +31,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("src.doc_id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "at", "matched", "window")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     held_out = common.crc_mod("doc_id", 3) == 1
@@ -42,6 +47,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_docs(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_docs(spark, sf_dir), ["doc_id"])
+    counts = [pii.count_kind(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])]
+    return found.select(F.col("src.doc_id").alias("doc_id"), *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 #: Fixed values of the contract: verdict, host, path.
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -61,7 +72,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_docs(spark, sf_dir), _tokenizer(), end_id=1)
+    return packing.pack_documents(_docs(spark, sf_dir), tokenizer_path(), end_id=1)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +85,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
         "op2_minhash": op2_minhash,
+        "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_pii": op6_pii,
         "op7_url_filter": op7_url_filter,
         "op8_top_k": op8_top_k,
         "op9_packing": op9_packing,
