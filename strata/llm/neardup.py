@@ -11,8 +11,10 @@ with probability 6e-7.
 
 Equal sets (by a 128-bit sum of shingle hashes) are one class first, so groups of copies cost one signature lookup.
 Round one tests, in every bucket, each class against the bucket's least class only. Round two tests, in buckets that
-still hold several components, the pairs across components; pairs inside a component cannot change the result. No
-bucket, partner or candidate is capped, and every link is confirmed on full sets from whole texts.
+still hold several components, the pairs across components; pairs inside a component cannot change the result. In
+buckets of more than ``DIRECT`` members a pair is tested only if it shares one of both classes' rarest shingles, as any
+linked pair does; so a line that thousands of unlike documents share makes no pairs. No bucket, partner or candidate is
+capped, and every link is confirmed on full sets from whole texts.
 
 Result: one row per input row, with the input as struct ``src`` and n_shingles, component_id (the least doc_id
 reachable), kept (doc_id = component_id) and first (one row of each group, and every row without words). Rows that share doc_id stay separate; a null doc_id is never a component's
@@ -27,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
 BANDS, ROWS = 36, 5
+#: Members of a bucket up to which its pairs across components are all tested; in larger ones only those that share a rare shingle.
+DIRECT = 32
 #: Shingles that are signed at a time: small enough for a core's cache.
 CHUNK = 1 << 16
 CACHED_WORDS = 1 << 20
@@ -157,7 +161,30 @@ def _confirm(pairs: DataFrame, reps: DataFrame, rows: DataFrame, shingle: int, p
     return common.materialize(common.arrow_map(both, _confirmed(shingle, percent), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows_per_band: int = ROWS, id_column: str = "doc_id") -> DataFrame:
+def _listed(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch["text"].to_pylist()]
+            nodes = np.repeat(batch["node"].to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([np.zeros(0, _U64), *sets]).view(np.int64), pa.int64())], ["node", "shingle"])
+
+    return run
+
+
+def _rare_shingles(nodes: DataFrame, reps: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, shingle): each class's rarest shingles, as many as it may lack in common with a linked class, and one more.
+
+    With all shingles in one order, two linked sets share one of these (prefix filtering), so pairs that share none need no test.
+    """
+    texts = reps.join(nodes, "node").select("node", "row", "n").join(rows.select("row", F.col("src.text").cast("binary").alias("text")), "row")
+    listed = common.materialize(common.arrow_map(texts.select("node", "text"), _listed(shingle), "node long, shingle long"), "shingles")
+    counts = listed.groupBy("shingle").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "shingle")
+    ranked = listed.join(counts, "shingle").select("node", "shingle", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("node")).alias("n"))
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("node", "shingle")
+
+
+def near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows_per_band: int = ROWS, id_column: str = "doc_id", direct: int = DIRECT) -> DataFrame:
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("src"), F.col("text").cast("binary").alias("text"))
     kind = source.schema["src"].dataType.simpleString()
     signed = common.arrow_map(source, _signed(shingle, bands, rows_per_band), f"row long, src {kind}, n_shingles long, sum_a long, sum_b long, keys array<long>")
@@ -178,11 +205,21 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int = BA
     named = components(links)
     # buckets that still hold several components; their pairs across components are tested
     labelled = shared.where("members > 2").select("key", "node", "n", "first").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
+    mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("members")).where("mixed").select("key", "members")
     labelled = common.materialize(labelled.join(mixed, "key"), "mixed")
-    left, right = labelled.alias("l"), labelled.alias("r")
-    across = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & similar(F.col("l.n"), F.col("r.n")))
-    across = across.where(F.col("l.node") != F.col("l.first")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    unlike = lambda on: (F.expr(" AND ".join(f"l.{c} = r.{c}" for c in on))) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & similar(F.col("l.n"), F.col("r.n"))
+    few = labelled.where(F.col("members") <= direct)
+    across = few.alias("l").join(few.alias("r"), unlike(["key"]))
+    across = across.where(F.col("l.node") != F.col("l.first")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    many = labelled.where(F.col("members") > direct)
+    if not many.isEmpty():
+        rare = _rare_shingles(many.select("node").distinct(), reps, rows, shingle, percent)
+        tagged = many.join(rare, "node")
+        both = tagged.groupBy("key", "shingle").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key", "shingle")
+        tagged = common.materialize(tagged.join(both, ["key", "shingle"]), "tagged")
+        pairs = tagged.alias("l").join(tagged.alias("r"), unlike(["key", "shingle"]))
+        across = across.unionByName(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
+    across = across.distinct()
     across = common.materialize(across, "pairs")
     if not across.isEmpty():
         links = links.unionByName(_confirm(across, reps, rows, shingle, percent))

@@ -76,7 +76,10 @@ def test_leaks(spark):
             rows.append((len(rows), " ".join([word() for _ in range(40)]) + ". " + ", ".join(own).upper() + " " + word()))
             w = min(len(item), decontaminate.WINDOW)
             best = max(sum(a == b for a, b in zip(own[s : s + w], item[s : s + w])) for s in range(len(item) - w + 1))
-            if best >= 0.8 * w:
+            agree = [a == b for a, b in zip(own, item)]
+            seeded = any(all(agree[at + k] for k, bit in enumerate(mask) if bit == "1") for mask in decontaminate.MASKS for at in range(len(item) - len(mask) + 1))
+            assert seeded or errors and len(item) < 13
+            if best >= 0.8 * w and seeded:
                 expected.add((len(rows) - 1, i))
     rows.append((len(rows), " ".join(items[0][:10])))  # a part that fills under 80 % of the window
     rows += [(777, " ".join(items[1])), (777, " ".join(items[1])), (None, " ".join(items[1])), (5000, None), (5001, ""), (5002, "x y")]
@@ -86,9 +89,7 @@ def test_leaks(spark):
     for small in (decontaminate.SMALL, 0):
         found = decontaminate.leaks(df, bench, small=small).collect()
         got = {(r["doc_id"], r["item_id"]) for r in found}
-        missed = expected - got
-        # masks of weight five cannot hit where errors leave no five chosen words; whole and single-error items must be met
-        assert got <= expected and all(m[0] is not None and m[0] % 3 == 2 for m in missed)
+        assert got == expected
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
