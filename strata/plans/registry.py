@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -30,21 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _load() -> None:
+    from . import embedding_queries, table_queries  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
 
 
-@register(
-    "group_count_labels",
-    "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
-)
-def group_count_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_count_labels(spark, sf_dir)
+    return queries()["geometry_d0_d1_d2"](spark, sf_dir)
