@@ -13,7 +13,8 @@ agree around it. About one position in 137 is an anchor. An anchor's region is a
    another blind trie over the bytes before it, backwards. The tries' branching depths are the common prefixes, from
    which the repeated windows of every class follow exactly.
 3. A k-mer with more than ``SPLIT`` classes would make one task's work grow with its group. Its windows are dealt out
-   one by one instead, by a 128-bit hash, and counted. Nothing is capped.
+   by 128-bit hashes and counted instead: cells of neighbouring windows first, and windows one by one only where
+   cells differ but share what all their windows share. Nothing is capped.
 
 Null texts are empty; empty texts and texts under ``length`` bytes keep everything. Repeated rows are copies of each
 other, so all of their windows repeat. Empty tables give empty results. Other columns are ignored.
@@ -283,20 +284,65 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kmer", "r1", "r2", "d_low", "d_high", "hot", "region"])
 
 
+#: Offsets whose windows are dealt out together.
+CELL = 16
+
+
+def _cells(length: int):
+    """Regions to cells of CELL offsets: hashes of the bytes that all the cell's windows share (core) and of all their bytes (span)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                region, at = r["region"], r["d_high"]
+                for j in range(r["d_low"] // CELL, r["d_high"] // CELL + 1):
+                    low, high = max(r["d_low"], j * CELL), min(r["d_high"], j * CELL + CELL - 1)
+                    core = region[at - j * CELL : at + length - j * CELL - CELL + 1]
+                    span = region[at - high : at - low + length]
+                    rows.append((*_halves(xxhash.xxh3_128_digest(core, j)), *_halves(xxhash.xxh3_128_digest(span, low * length + high)), r["r1"], r["r2"], low, high))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 6, *[pa.int32()] * 2), strict=True)], ["c1", "c2", "s1", "s2", "r1", "r2", "low", "high"])
+
+    return run
+
+
 def _windows(length: int):
+    """Regions, each with the cells wanted of it, to the hashes of those cells' windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                for d in range(r["d_low"], r["d_high"] + 1):
-                    start = r["d_high"] - d
-                    rows.append((*_halves(xxhash.xxh3_128_digest(r["region"][start : start + length])), r["r1"], r["r2"], d))
+                for cell in r["cells"]:
+                    for d in range(cell["low"], cell["high"] + 1):
+                        start = r["d_high"] - d
+                        rows.append((*_halves(xxhash.xxh3_128_digest(r["region"][start : start + length], d)), cell["s1"], cell["s2"], d))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.int32()), strict=True)], ["w1", "w2", "r1", "r2", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.int32()), strict=True)], ["w1", "w2", "s1", "s2", "d"])
 
     return run
 
 
+def _dealt(hot: DataFrame, length: int) -> DataFrame:
+    """(r1, r2, low, high): offsets at which windows of the hot k-mers' regions repeat.
+
+    A span met twice repeats as a whole. Windows are hashed one by one only where different spans share a core, once for each span.
+    """
+    regions = hot.dropDuplicates(["r1", "r2"])
+    cells = common.materialize(common.arrow_map(regions, _cells(length), "c1 long, c2 long, s1 long, s2 long, r1 long, r2 long, low int, high int"), "cells")
+    spans = cells.groupBy("c1", "c2", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("r1", "r2", "low", "high")).alias("one"))
+    spans = common.materialize(spans, "spans")
+    mixed = spans.groupBy("c1", "c2").agg(F.count("*").alias("m")).where("m > 1").select("c1", "c2")
+    wanted = spans.join(mixed, ["c1", "c2"]).select("one.r1", "one.r2", F.struct("s1", "s2", "one.low", "one.high").alias("cell")).groupBy("r1", "r2").agg(F.collect_list("cell").alias("cells"))
+    windows = common.arrow_map(regions.join(wanted, ["r1", "r2"]).select("region", "d_high", "cells"), _windows(length), "w1 long, w2 long, s1 long, s2 long, d int")
+    windows = common.materialize(windows, "windows")
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    parts = windows.join(twice, ["w1", "w2"]).select("s1", "s2", F.col("d").alias("low"), F.col("d").alias("high"))
+    whole = spans.where("n > 1").select("s1", "s2", "one.low", "one.high")
+    return cells.select("s1", "s2", "r1", "r2").join(whole.unionByName(parts), ["s1", "s2"]).select("r1", "r2", "low", "high")
+
+
 def _removed(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,10 +383,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, with_te
     ordered = cut.where("NOT hot").repartition("kmer").sortWithinPartitions("kmer")
     ranges = common.arrow_map(ordered, _sorted(length, k), "r1 long, r2 long, ranges array<struct<low:int,high:int>>").select("r1", "r2", F.explode("ranges").alias("range"))
     ranges = ranges.select("r1", "r2", "range.low", "range.high")
-    windows = common.arrow_map(cut.where("hot"), _windows(length), "w1 long, w2 long, r1 long, r2 long, d int").dropDuplicates(["r1", "r2", "d"])
-    windows = common.materialize(windows, "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    dealt = windows.join(twice, ["w1", "w2"]).select("r1", "r2", F.col("d").alias("low"), F.col("d").alias("high"))
+    dealt = _dealt(cut.where("hot"), length)
     whole = classes.where("n > 1").select("r1", "r2", F.col("d_low").alias("low"), F.col("d_high").alias("high"))
     repeated = common.materialize(whole.unionByName(ranges).unionByName(dealt), "ranges")
     spans = met.select("key", "at", "r1", "r2").join(repeated, ["r1", "r2"]).select("key", F.struct((F.col("at") - F.col("high")).alias("low"), (F.col("at") - F.col("low") + length).alias("high")).alias("span"))
