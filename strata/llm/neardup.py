@@ -10,9 +10,12 @@ coordinates. ``bands`` bands of ``rows`` coordinates propose pairs: at a similar
 with probability 6e-7.
 
 Equal sets (by a 128-bit sum of shingle hashes) are one class first, so groups of copies cost one signature lookup.
-Round one tests, in every bucket, each class against the bucket's least class only. Round two tests, in buckets that
-still hold several components, the pairs across components; pairs inside a component cannot change the result. No
-bucket, partner or candidate is capped, and every link is confirmed on full sets from whole texts.
+Round one tests, in every bucket, each class against the bucket's least class only. Round two is for classes in buckets
+that still hold several components, where all pairs would grow with the bucket's square. Their shingles are put in one
+order, rare ones first; two sets of sizes m and n that are linked share at least percent * (m + n) / (100 + percent)
+shingles, so they share one among the first of each, at places that leave room for that many. Classes are joined on
+those shingles, each class against those outside the shingle's largest component, and pairs inside a component cannot
+change the result. No bucket, partner or candidate is capped, and every link is confirmed on full sets from whole texts.
 
 Result: one row per input row, with the input as struct ``src`` and n_shingles, component_id (the least doc_id
 reachable), kept (doc_id = component_id) and first (one row of each group, and every row without words). Rows that share doc_id stay separate; a null doc_id is never a component's
@@ -147,16 +150,56 @@ def _confirmed(shingle: int, percent: int):
     return run
 
 
+def _shingles(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch["text"].to_pylist()):
+                own = shingle_set(text, shingle).view(np.int64)
+                repeated = [pa.repeat(batch[name][i], len(own)) for name in ("node", "component")]
+                yield pa.RecordBatch.from_arrays([*repeated, pa.array(own)], ["node", "component", "shingle"])
+
+    return run
+
+
+def _texts(nodes: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """The classes ``nodes`` with their representatives' texts. Only the texts that are asked for are moved, one for each class."""
+    return nodes.join(reps.select("node", "row"), "node").join(rows.select("row", F.col("src.text").cast("binary").alias("text")), "row").drop("row")
+
+
 def _confirm(pairs: DataFrame, reps: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes that are linked. Only the texts that are asked for are moved, one for each class."""
+    """Those of the pairs (a, b) of classes that are linked."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = reps.join(asked, "node").select("node", "row").join(rows.select("row", F.col("src.text").cast("binary").alias("text")), "row").select("node", "text")
-    texts = common.materialize(texts, "texts")
+    texts = common.materialize(_texts(asked, reps, rows), "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return common.materialize(common.arrow_map(both, _confirmed(shingle, percent), "a long, b long"), "links")
 
 
+def _across(crowded: DataFrame, reps: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the classes ``crowded`` (node, n, component), from different components, that can be linked: all that are, and few others."""
+    texts = _texts(crowded.select("node", "component"), reps, rows)
+    entries = common.arrow_map(texts, _shingles(shingle), "node long, component long, shingle long")
+    # a shingle of one component only proposes nothing, so such shingles come first in the order and need no place of their own
+    counted = entries.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = counted.where("low != high").select("shingle", "held")
+    own = entries.select("node", "shingle").join(mixed, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("own"))
+    placed = crowded.join(own, "node").withColumn("before", F.col("n") - F.size("own"))
+    needed = lambda total, of: F.expr(f"(({total}) * {percent} + {of} - 1) div {of}")
+    spare = F.col("n") - needed("n", 100) - F.col("before") + 1  # how many of the mixed shingles are among the first
+    placed = placed.where(spare > 0).select("node", "n", "component", "before", F.posexplode(F.slice("own", F.lit(1), spare.cast("int"))).alias("at", "entry"))
+    postings = placed.select("node", "n", "component", (F.col("before") + F.col("at")).alias("at"), "entry.shingle")
+    postings = common.materialize(postings, "postings")
+    largest = postings.groupBy("shingle", "component").agg(F.count("*").alias("held")).groupBy("shingle").agg(F.max_by("component", F.struct("held", "component")).alias("largest"), F.count("*").alias("components"))
+    postings = postings.join(largest.where("components > 1").drop("components"), "shingle")
+    left, right = postings.where("component != largest").alias("l"), postings.alias("r")
+    overlap = needed("l.n + r.n", 100 + percent)
+    can = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.largest")) | (F.col("l.node") < F.col("r.node")))
+    can &= (F.col("l.n") - F.col("l.at") >= overlap) & (F.col("r.n") - F.col("r.at") >= overlap)
+    can &= 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
+    found = left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & can)
+    return found.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows_per_band: int = ROWS, id_column: str = "doc_id") -> DataFrame:
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("src"), F.col("text").cast("binary").alias("text"))
     kind = source.schema["src"].dataType.simpleString()
@@ -176,14 +219,11 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int = BA
     star = shared.where((F.col("node") != F.col("first")) & similar(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = _confirm(common.materialize(star, "pairs"), reps, rows, shingle, percent)
     named = components(links)
-    # buckets that still hold several components; their pairs across components are tested
-    labelled = shared.where("members > 2").select("key", "node", "n", "first").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # classes in buckets that still hold several components
+    labelled = shared.where("members > 2").select("key", "node", "n").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    labelled = common.materialize(labelled.join(mixed, "key"), "mixed")
-    left, right = labelled.alias("l"), labelled.alias("r")
-    across = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & similar(F.col("l.n"), F.col("r.n")))
-    across = across.where(F.col("l.node") != F.col("l.first")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    across = common.materialize(across, "pairs")
+    crowded = common.materialize(labelled.join(mixed, "key").select("node", "n", "component").distinct(), "crowded")
+    across = common.materialize(_across(crowded, reps, rows, shingle, percent), "pairs")
     if not across.isEmpty():
         links = links.unionByName(_confirm(across, reps, rows, shingle, percent))
         named = components(links)

@@ -54,6 +54,36 @@ def test_same_as_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0), 2, 80).count() == 0
 
 
+def test_many_texts_with_one_line(spark):
+    rng = np.random.default_rng(5)
+    line = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, f"{line} " + " ".join(f"o{k}" for k in rng.integers(0, 12, rng.integers(3, 8)))) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 90):
+        out = neardup.near_duplicates(df, 2, percent)
+        got = sorted((tuple(r) for r in out.select("src.doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
+        assert got == brute(rows, 2, percent)
+
+
+def test_pairs_across_components_hold_all_links(spark):
+    rng = np.random.default_rng(6)
+    line = " ".join(f"c{i}" for i in range(30))
+    texts = [f"{line} " + " ".join(f"o{k}" for k in rng.integers(0, 9, rng.integers(2, 12))) for _ in range(150)]
+    sets = [neardup.shingle_set(t.encode(), 2) for t in texts]
+    component = [int(c) for c in rng.integers(0, 4, len(texts))]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, row long, text string")
+    rows = docs.selectExpr("row", "named_struct('text', text) AS src")
+    crowded = spark.createDataFrame([(i, len(s), c) for i, (s, c) in enumerate(zip(sets, component))], "node long, n long, component long")
+    got = {(r["a"], r["b"]) for r in neardup._across(crowded, docs.select("node", "row"), rows, 2, 80).collect()}
+    linked = set()
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if component[i] != component[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            linked.add((i, j))
+    assert linked and linked <= got
+    assert all(component[i] != component[j] for i, j in got)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     universe = rng.integers(0, 1 << 64, 1500, dtype=np.uint64)
