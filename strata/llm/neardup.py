@@ -39,7 +39,8 @@ from .components import components
 BANDS, ROWS = 36, 5
 #: Shingles that are signed at a time: small enough for a core's cache.
 CHUNK = 1 << 16
-CACHED_WORDS = 1 << 20
+#: A worker's hashes of words: some 10 MB, as several workers share an executor's memory.
+CACHED_WORDS = 1 << 16
 _U64, _U32 = np.uint64, np.uint32
 _FIRST, _SECOND, _THIRD = _U32(0x85EBCA6B), _U32(0xC2B2AE35), _U32(0x9E3779B1)
 
