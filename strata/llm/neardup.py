@@ -10,8 +10,9 @@ coordinates. ``bands`` bands of ``rows`` coordinates propose pairs: at a similar
 with probability 6e-7.
 
 Equal sets (by a 128-bit sum of shingle hashes) are one class first, so groups of copies cost one signature lookup.
-Round one tests, in every bucket, each class against the bucket's least class only. Round two is for classes in buckets
-that still hold several components, where all pairs would grow with the bucket's square. Their shingles are put in one
+Round one tests, in every bucket, each class against the bucket's least class only. Round two does so, in buckets that
+still hold several components, with the class that is in most of those buckets, such as the text that copies were made
+from. Round three is for buckets that hold several components even then, where all pairs would grow with the square. Their shingles are put in one
 order, rare ones first; two sets of sizes m and n that are linked share at least percent * (m + n) / (100 + percent)
 shingles, so they share one among the first of each, at places that leave room for that many. Classes are joined on
 those shingles, each class against those outside the shingle's largest component, and pairs inside a component cannot
@@ -220,10 +221,22 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int = BA
     star = shared.where((F.col("node") != F.col("first")) & similar(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = _confirm(common.materialize(star, "pairs"), reps, rows, shingle, percent)
     named = components(links)
-    # classes in buckets that still hold several components
-    labelled = shared.where("members > 2").select("key", "node", "n").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    crowded = common.materialize(labelled.join(mixed, "key").select("node", "n", "component").distinct(), "crowded")
+    # buckets that still hold several components
+    def still_mixed(named: DataFrame) -> DataFrame:
+        labelled = shared.where("members > 2").select("key", "node", "n").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
+        return common.materialize(labelled.join(several, "key"), "mixed")
+
+    mixed = still_mixed(named)
+    held = mixed.groupBy("node").agg(F.count("*").alias("held"))
+    middle = mixed.join(held, "node").groupBy("key").agg(F.max(F.struct("held", "node", "n", "component")).alias("middle"))
+    around = mixed.join(middle, "key").where((F.col("component") != F.col("middle.component")) & similar(F.col("n"), F.col("middle.n")))
+    around = common.materialize(around.select(F.col("middle.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    if not around.isEmpty():
+        links = links.unionByName(_confirm(around, reps, rows, shingle, percent))
+        named = components(links)
+        mixed = still_mixed(named)
+    crowded = common.materialize(mixed.select("node", "n", "component").distinct(), "crowded")
     across = common.materialize(_across(crowded, reps, rows, shingle, percent), "pairs")
     if not across.isEmpty():
         links = links.unionByName(_confirm(across, reps, rows, shingle, percent))
