@@ -114,3 +114,34 @@ def precision_recall(real: DataFrame, made: DataFrame, k: int, block: int = BLOC
     a = held(made, real).agg(share(F.col("n") > 0).alias("precision"), (F.avg("n") / k).alias("density"))
     b = held(real, made).agg(share(F.col("n") > 0).alias("recall"), share(F.col("own")).alias("coverage"))
     return a.crossJoin(F.broadcast(b))  # one row each
+
+
+def _moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, covariance with n - 1) of vectors ``v``; each partition adds up its own, and one matrix reaches the driver."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, g = 0, None, None
+        for frame in frames:
+            if len(frame):
+                x = _dense(frame["v"])
+                own = x.sum(axis=0), x.T @ x
+                n, s, g = n + len(x), own[0] if s is None else s + own[0], own[1] if g is None else g + own[1]
+        if n:
+            yield pd.DataFrame({"n": [n], "x": [[*s, *g.reshape(-1)]]})
+
+    parts = df.where("v IS NOT NULL").select("v").mapInPandas(run, "n long, x array<double>")
+    n = parts.agg(F.sum("n")).first()[0] or 0
+    sums = parts.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
+    d = int((np.sqrt(1 + 4 * len(sums)) - 1) / 2)
+    mean = sums[:d] / max(n, 1)
+    return n, mean, (sums[d:].reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1)
+
+
+def frechet_distance(x: DataFrame, y: DataFrame) -> DataFrame:
+    """One row, frechet: squared distance of means + traces - 2 * the trace of the root of the covariances' product; null if a side has under two rows."""
+    (n, mean_x, cov_x), (m, mean_y, cov_y) = _moments(x), _moments(y)
+    found = None
+    if min(n, m) > 1:
+        roots = np.sqrt(np.maximum(np.linalg.eigvals(cov_x @ cov_y).real, 0))
+        found = float(((mean_x - mean_y) ** 2).sum() + np.trace(cov_x) + np.trace(cov_y) - 2 * roots.sum())
+    return x.sparkSession.createDataFrame([(found,)], "frechet double")
