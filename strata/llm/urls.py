@@ -8,7 +8,8 @@ the longer path, then the greater text).
 The tree holds, per host, the paths' first ``DEPTH`` segments and whether there are more. Level by level, a segment
 stays literal only if it holds at least ``MIN_ROWS`` rows and ``MIN_SHARE`` of its node's; all others become the
 wildcard ``*``. A literal branch whose blocked share does not differ from its siblings' (chi-square under ``CHI``) is
-merged into the wildcard as well. Urls that a rule judged are the labelled ones. A template's purity is its blocked
+merged into the wildcard as well. Where the branch or all its siblings hold no labelled row there is no such test, and
+so nothing that makes them alike: the branch stays literal. Urls that a rule judged are the labelled ones. A template's purity is its blocked
 share smoothed towards the parent's with ``PRIOR`` rows: host template, host, all hosts, one half. Purity of at least
 ``REJECT`` blocks.
 
@@ -67,10 +68,11 @@ def templates(counts: DataFrame) -> DataFrame:
         share = F.try_divide("node_blocked", "node_labelled")
         spread = F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_labelled)
         gap = F.try_divide("blocked", "labelled") - F.try_divide(rest_blocked, rest_labelled)
-        chi = F.try_divide(gap * gap, share * (1 - share) * spread)
+        chi = F.coalesce(F.try_divide(gap * gap, share * (1 - share) * spread), F.lit(0.0))  # all labelled rows agree: alike
+        untested = (F.col("labelled") == 0) | (rest_labelled == 0)
         often = (F.col("n") >= MIN_ROWS) & (F.col("n") >= MIN_SHARE * F.col("node_n"))
-        # at most 1 / MIN_SHARE literal branches a node; a node's only branch has no sibling to be merged with
-        literal = branches.join(nodes, above).where(often & ((F.col("n") == F.col("node_n")) | (chi >= CHI))).select(*above, f"s{k}", F.lit(True).alias("literal"))
+        # at most 1 / MIN_SHARE literal branches a node
+        literal = branches.join(nodes, above).where(often & (untested | (chi >= CHI))).select(*above, f"s{k}", F.lit(True).alias("literal"))
         tree = tree.join(literal, [*above, f"s{k}"], "left").withColumn(f"t{k}", F.when(F.col("literal"), F.col(f"s{k}")).otherwise(F.when(F.col(f"s{k}") == "", F.lit("")).otherwise(F.lit("*")))).drop("literal")
     return tree
 

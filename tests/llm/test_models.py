@@ -146,3 +146,19 @@ def test_urls(spark):
         assert got[i]["verdict"] in (("allow", "block") if verdict is None else (verdict,))
     assert out.count() == len(rows) and got[100]["template"].startswith("en/") or got[100]["template"].startswith("*")
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
+def test_urls_untested_branches_stay_apart(spark):
+    rules = [("block", "com", "/en/"), ("allow", "com", "/de/a"), ("block", "com", "/de/b"), ("allow", "org", "/ok/")]
+    paths = [f"one.com/en/{i}" for i in range(60)] + [f"one.com/fr/{i}" for i in range(40)] + [f"one.com/es/{i}" for i in range(25)]
+    paths += [f"two.com/{x}/b{i}" for x in ("en", "de") for i in range(40)] + [f"w.org/ok/{i}" for i in range(30)]
+    out = urls.judge(spark.createDataFrame([(i, f"http://{p}") for i, p in enumerate(paths)], "page_id long, url string"), rules).collect()
+    first = {}
+    for r in out:
+        first.setdefault((r["host"], r["path"].split("/")[1]), set()).add((r["template"].split("/")[0], round(r["purity"], 9)))
+    assert all(len(x) == 1 for x in first.values())
+    overall = (140 + 5) / (170 + 10)
+    one = (60 + 10 * overall) / 70
+    assert first["one.com", "en"] == {("en", round((60 + 10 * one) / 70, 9))}
+    assert first["one.com", "fr"] == {("fr", round(one, 9))} and first["one.com", "es"] == {("es", round(one, 9))}
+    assert first["two.com", "en"] == first["two.com", "de"] and {t for t, _ in first["two.com", "en"]} == {"*"}  # tested, and alike
