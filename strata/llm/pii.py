@@ -3,13 +3,15 @@
 Base kinds, leftmost non-overlapping matches of each: email, ip (parts at most 255), card (12 to 19 digits passing
 Luhn), phone (9 to 15 digits). Failing matches are dropped and not retried.
 
-Bootstrapping: candidates are the white-space tokens that hold a digit, without surrounding punctuation. Those that
-overlap a base span are seeds. A pattern is a neighbouring word (left or right) with the token's shape (digits to 9,
-letters to a). The graph of patterns and instances is scored in rounds: a pattern is trusted if at least ``SUPPORT``
-distinct known instances follow it and they are at least ``TRUST`` of all its instances; an unseen instance becomes
-known if trusted patterns hold it, with 1 - product(1 - precision) of at least ``ACCEPT``. Known unseen instances are
-added as spans of kind ``id``; base spans always stay. The graph holds distinct pairs only and is summed on the map
-side, so a word before a third of all candidates is no single task's work.
+Bootstrapping: candidates are the white-space tokens that hold a digit or an @, without surrounding punctuation. Those
+that overlap a base span are seeds. A pattern is a neighbouring word (left or right), whatever the token looks like. Its
+negatives are the plain tokens, without digit and @, that stand in the same place: candidates not known yet say nothing
+against it. The graph of patterns and instances is scored in rounds: a pattern is trusted if at least ``SUPPORT``
+distinct known instances follow it and their occurrences are at least ``TRUST`` of theirs and the negatives' together;
+an unseen instance becomes known if trusted patterns hold it, with 1 - product(1 - precision) of at least ``ACCEPT``.
+Rounds end when one accepts nothing new. Known unseen instances are added as spans of kind ``id``; base spans always
+stay. The graph holds distinct pairs only and is summed on the map side, so a word before a third of all candidates is
+no single task's work.
 
 Null texts are empty and have no spans. Repeated rows are treated each. Empty tables give empty results. Offsets count
 code points, end exclusive.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone", "id")
-SUPPORT, TRUST, ACCEPT, ROUNDS = 4, 0.8, 0.8, 2
+SUPPORT, TRUST, ACCEPT = 4, 0.8, 0.8
 
 # Each matches what the plain pattern does, but starts only where a leftmost match can start, so that a long run of
 # its characters is read once and not from each of its places; possessive repeats neither backtrack nor recurse.
@@ -31,8 +33,9 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,}+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+_TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _EDGES = ".,;:!?\"'()[]{}<>#%&*$|=_/\\"
+_SPACE = " \t\n\x0b\f\r"
 _SPAN = "array<struct<start:int,kind_order:int,end:int>>"
 
 
@@ -108,32 +111,48 @@ def _candidates(text: Column, base: Column) -> Column:
         start = m["start"] + F.char_length(m["match"]) - F.char_length(led)
         value = F.rtrim(led, F.lit(_EDGES))
         end = start + F.char_length(value)
-        word = lambda side, pattern: F.lower(F.btrim(F.regexp_extract(side, pattern, 1), F.lit(_EDGES)))
-        shape = F.regexp_replace(F.regexp_replace(F.left(value, F.lit(40)), "[0-9]", "9"), "[A-Za-z]", "a")
+        word = lambda side, pattern: F.lower(F.btrim(F.regexp_extract(F.btrim(side, F.lit(_EDGES + _SPACE)), pattern, 0), F.lit(_EDGES)))
         known = F.exists(base, lambda b: (b["start"] < end) & (b["end"] > start))
-        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), shape.alias("shape"), word(m["before"], r"(\S+)\s*$").alias("left"), word(m["after"], r"^\s*(\S+)").alias("right"), known.alias("known"))
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), word(m["before"], r"\S+$").alias("left"), word(m["after"], r"^\S+").alias("right"), known.alias("known"))
 
-    return F.transform(matches(text, _TOKEN), one)
+    return F.filter(F.transform(matches(text, _TOKEN), one), lambda c: c["value"].rlike("[^@]"))
 
 
-def discovered(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """From candidates (value, shape, left, right, known): the values that are not known but accepted."""
+def plain_neighbours(text: DataFrame) -> DataFrame:
+    """From (text): (pattern, negatives), how many plain tokens stand next to each plain word, on each side."""
+    words = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(_EDGES))), lambda w: w != "")
+    held = text.select(words.alias("w"))
+    none = F.array(F.lit("0"))  # before the first and after the last word
+    placed = held.select(F.explode(F.arrays_zip(F.col("w").alias("w"), F.concat(none, "w").alias("before"), F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), none).alias("after"))).alias("p")).select("p.*")
+    plain = lambda c: ~F.col(c).rlike("[0-9@]")
+    counted = placed.where(plain("w")).groupBy("w").agg(F.count_if(plain("after")).alias("l"), F.count_if(plain("before")).alias("r"))
+    sides = F.array(*[F.struct(F.concat_ws("\t", F.lit(side), "w").alias("pattern"), F.col(side).alias("negatives")) for side in "lr"])
+    return counted.select(F.explode(sides).alias("s")).select("s.*").where("negatives > 0")
+
+
+def discovered(candidates: DataFrame, negatives: DataFrame) -> DataFrame:
+    """From candidates (value, left, right, known) and (pattern, negatives): the values that are not known but accepted."""
     sides = F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word")))
-    graph = candidates.select("value", "shape", "known", F.explode(sides).alias("s")).where("s.word != ''")
-    graph = graph.groupBy(F.concat_ws("\t", "s.side", "s.word", "shape").alias("pattern"), "value").agg(F.max("known").alias("known"))
+    graph = candidates.select("value", "known", F.explode(sides).alias("s")).where("s.word != ''")
+    graph = graph.groupBy(F.concat_ws("\t", "s.side", "s.word").alias("pattern"), "value").agg(F.max("known").alias("known"), F.count("*").alias("n"))
     seeds = graph.groupBy("value").agg(F.max("known").alias("seed"))
     graph = common.materialize(graph.drop("known").join(seeds, "value"), "graph")
-    accepted = graph.limit(0).select("value")
-    for _ in range(rounds):
+    supported = graph.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") > SUPPORT).select("pattern")  # others have nothing to add
+    negatives = common.materialize(supported.join(negatives, "pattern", "left").select("pattern", F.coalesce("negatives", F.lit(0)).alias("negatives")), "negatives")
+    accepted, more = graph.limit(0).select("value"), True
+    while more:
         state = graph.join(accepted.withColumn("taken", F.lit(True)), "value", "left").withColumn("known", F.col("seed") | F.coalesce("taken", F.lit(False)))
-        counted = state.groupBy("pattern").agg(F.count_if("known").alias("f"), F.count("*").alias("n"))
-        trusted = counted.where((F.col("f") >= SUPPORT) & (F.col("f") >= TRUST * F.col("n")) & (F.col("f") < F.col("n"))).select("pattern", (F.col("f") / F.col("n")).alias("precision"))
+        counted = state.groupBy("pattern").agg(F.count_if("known").alias("f"), F.sum(F.when(F.col("known"), F.col("n"))).alias("held"), F.count("*").alias("values"))
+        counted = counted.where((F.col("f") >= SUPPORT) & (F.col("f") < F.col("values"))).join(negatives, "pattern")
+        trusted = counted.select("pattern", (F.col("held") / (F.col("held") + F.col("negatives"))).alias("precision")).where(F.col("precision") >= TRUST)
         held = state.where("NOT known").join(trusted, "pattern").groupBy("value").agg(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-9)))).alias("doubt"))
-        accepted = common.materialize(accepted.unionByName(held.where(1 - F.exp("doubt") >= ACCEPT).select("value")).distinct(), "accepted")
+        found = common.materialize(held.where(1 - F.exp("doubt") >= ACCEPT).select("value"), "accepted")
+        more = not found.isEmpty()
+        accepted = accepted.unionByName(found)
     return accepted
 
 
-def find(docs: DataFrame, keep: list[str], rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of each row as struct ``src``, with base and spans: sorted arrays of (start, kind_order, end); kind_order indexes KINDS."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("src"), text.alias("text"))
@@ -141,7 +160,7 @@ def find(docs: DataFrame, keep: list[str], rounds: int = ROUNDS) -> DataFrame:
     rows = rows.select("src", "base", _candidates(F.col("text"), F.col("base")).alias("candidates"), F.monotonically_increasing_id().alias("row"))
     rows = common.materialize(rows, "spans")
     listed = rows.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
-    accepted = discovered(listed.select("value", "shape", "left", "right", "known"), rounds)
+    accepted = discovered(listed.select("value", "left", "right", "known"), plain_neighbours(docs.select("text")))
     added = listed.where("NOT known").join(accepted, "value").select("row", F.struct("start", F.lit(len(KINDS) - 1).alias("kind_order"), "end").alias("span"))
     added = added.groupBy("row").agg(F.collect_set("span").alias("added"))
     spans = F.array_sort(F.concat("base", F.coalesce(F.col("added"), F.array()).cast(_SPAN)))

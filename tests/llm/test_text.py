@@ -108,3 +108,17 @@ def test_pipeline(spark):
     ids = {r[0] for r in packed.select("doc_id").distinct().collect()}
     language_kept = {r[0] for r in corpus_pipeline.language(spark, docs, sf).select("doc_id").collect()}
     assert ids <= language_kept and len(ids) >= 0.8 * len(language_kept)
+
+
+def test_bootstrapping_finds_shapes_that_no_base_kind_has(spark):
+    texts = [f"write to ref a{i}@b.cd please" for i in range(5)]
+    texts += [f"see ref = 'AB-{i}X-{'7' * (1 + i % 3)}' there{i}" for i in range(20)]  # four unseen for each known, in many shapes
+    texts += [f"badge AB-{i}X-{'7' * (1 + i % 3)} so{i}" for i in range(5)] + [f"badge q{i}q on{i}" for i in range(6)]
+    texts += [f"pass q{i}q by{i}" for i in range(5)] + ["pass 0x5e", "desk q1q", "desk 3"]
+    texts += [f"the c{i}@b.cd of" for i in range(6)] + ["the cat of the dog of the cow of", "the 12 of"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.find(df, ["doc_id", "text"]).select("src.text", pii.written(F.col("spans")).alias("w")).collect()
+    got = {r["text"]: [r["text"][int(x.split(":")[1]) : int(x.split(":")[2])] for x in r["w"].split(",") if x.startswith("id:")] for r in out}
+    assert all(got[t] == [t.split("'")[1]] for t in texts if "ref =" in t)
+    assert all(got[t] == [t.split(" ")[1]] for t in texts if t.startswith(("badge", "pass"))) and got["desk q1q"] == ["q1q"]
+    assert got["desk 3"] == [] and got["the 12 of"] == [] and not any(got[t] for t in texts if "@" in t)
