@@ -113,6 +113,16 @@ def auroc(df: DataFrame, score: str, positive: str) -> DataFrame:
     return ranked.agg(F.try_divide(F.sum(F.col("p") * (F.col("lower") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auroc"))
 
 
+def auroc_by(df: DataFrame, group: str, score: str, positive: str, steps: int = 1000) -> DataFrame:
+    """(group, auroc) by average ranks. Scores are summed in ``steps`` ranges a unit first, so that no window holds a whole group."""
+    sums = df.groupBy(group, F.floor(F.col(score) * steps).alias("at"), score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+    before = Window.partitionBy(group).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.groupBy(group, "at").agg(F.sum("q").alias("q")).select(group, "at", F.coalesce(F.sum("q").over(before), F.lit(0)).alias("under"))
+    below = Window.partitionBy(group, "at").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sums.withColumn("own", F.coalesce(F.sum("q").over(below), F.lit(0))).join(ranges, [group, "at"])
+    return ranked.groupBy(group).agg(F.try_divide(F.sum(F.col("p") * (F.col("under") + F.col("own") + F.col("q") / 2)), F.sum("p").cast("double") * F.sum("q")).alias("auroc"))
+
+
 def bootstrap(df: DataFrame, group: str, id_column: str, value: str, draws: int, seed: int) -> DataFrame:
     """(group, mean, lo, hi, n): grouped bootstrap with 2.5 and 97.5 percentiles, and a macro row that averages the groups inside each resample.
 

@@ -72,6 +72,43 @@ def top_k(queries: DataFrame, ref: DataFrame, k: int, block: int = BLOCK) -> Dat
     return _similar(queries, ref, choose, block).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def ranks_in(asked: DataFrame, ref: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, target, rank) of each asked row (id, v, target, sim[, g]): one more than the others that ``id`` finds more similar than ``target``, with equal ``g`` if both sides have it.
+
+    ``sim`` is that of id and target. Similarities within 1e-12 are equal, as products of other shapes differ in their last bits; then the smaller id is first.
+    """
+    spark, found = asked.sparkSession, None
+    grouped = "g" in asked.columns and "g" in ref.columns
+    for ids, units, groups in _blocks(ref, block):
+        shared = spark.sparkContext.broadcast((ids, units, groups))
+
+        def count(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, units, groups = shared.value
+            step = max(1, (1 << 22) // max(1, len(ids)))  # cells at once
+            for whole in frames:
+                for frame in (whole.iloc[i : i + step] for i in range(0, len(whole) if len(ids) else 0, step)):
+                    own, target, sim = frame["id"].to_numpy(np.int64), frame["target"].to_numpy(np.int64), frame["sim"].to_numpy()
+                    ahead = _units(frame["v"]) @ units.T - sim[:, None]
+                    better = (ahead > 1e-12) | (np.abs(ahead) <= 1e-12) & (ids[None, :] < target[:, None])
+                    better &= (ids[None, :] != own[:, None]) & (ids[None, :] != target[:, None])
+                    if grouped:
+                        better &= frame["g"].to_numpy(np.int64)[:, None] == groups[None, :]
+                    yield pd.DataFrame({"id": own, "target": target, "n": better.sum(axis=1)})
+
+        part = asked.mapInPandas(count, "id long, target long, n long")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("id", "target").agg((F.sum("n") + 1).cast("int").alias("rank"))
+
+
+def both_ways(side: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, rank_ab, rank_ba) of the pairs among the first k of a whose rank is no worse than that the other way; of equal ranks the smaller id asks."""
+    first = top_k(side, side, k, block).select("a", "b", "sim", "rank")
+    asked = first.select(F.col("b").alias("id"), F.col("a").alias("target"), "sim").join(side, "id")
+    back = ranks_in(asked, side, block).select(F.col("id").alias("b"), F.col("target").alias("a"), F.col("rank").alias("rank_ba"))
+    both = first.select("a", "b", F.col("rank").alias("rank_ab")).join(back, ["a", "b"])
+    return both.where("rank_ab < rank_ba OR rank_ab = rank_ba AND a < b").select("a", "b", "rank_ab", "rank_ba")
+
+
 def pairs_over(queries: DataFrame, ref: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, sim) of all pairs with cosine at least ``threshold``."""
     return _similar(queries, ref, lambda sims, ids: np.nonzero(sims >= threshold), block)

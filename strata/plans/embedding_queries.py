@@ -123,10 +123,19 @@ def knn_vote(spark, sf_dir):
 SELECT x.a, x.b, x.rank AS rank_ab, y.rank AS rank_ba FROM R x JOIN R y ON x.a = y.b AND x.b = y.a WHERE x.rank <= 5 AND (x.rank < y.rank OR x.rank = y.rank AND x.a < x.b)""")
 def rank_both_ways(spark, sf_dir):
     side = rows(spark, sf_dir).where("coarse = 0").select("id", "v")
-    everything = similarity.top_k(side, side, 1 << 15).select("a", "b", "rank")
-    back = everything.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("rank").alias("rank_ba"))
-    both = everything.withColumnRenamed("rank", "rank_ab").join(back, ["a", "b"])
-    return both.where("rank_ab <= 5 AND (rank_ab < rank_ba OR rank_ab = rank_ba AND a < b)").select("a", "b", "rank_ab", "rank_ba")
+    return similarity.both_ways(side, 5)
+
+
+#: Rows of the reference side at once where whole classes are compared.
+CLASS_BLOCK = 1 << 12
+
+
+@register("rank_both_ways_by_class", f"""WITH {_E}, R AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM P WHERE ca = cb)
+SELECT x.ca AS coarse, x.a, x.b, x.rank AS rank_ab, y.rank AS rank_ba FROM R x JOIN R y ON x.a = y.b AND x.b = y.a WHERE x.rank <= 5 AND (x.rank < y.rank OR x.rank = y.rank AND x.a < x.b)""")
+def rank_both_ways_by_class(spark, sf_dir):
+    df = rows(spark, sf_dir)
+    found = similarity.both_ways(df.select("id", "v", F.col("coarse").alias("g")), 5, CLASS_BLOCK)
+    return found.join(df.select(F.col("id").alias("a"), "coarse"), "a").select("coarse", "a", "b", "rank_ab", "rank_ba")
 
 
 @register("knn_graph", f"WITH {_E}, {_top(5)}, B AS (SELECT a, b, sim FROM T UNION ALL SELECT b, a, sim FROM T) SELECT a, b, round(max(sim), 6) AS sim FROM B GROUP BY a, b")
@@ -224,6 +233,29 @@ def pair_auroc(spark, sf_dir):
     return metrics.auroc(scored, "sim", "same").select(F.round("auroc", 6).alias("auroc"))
 
 
+def _pairs_by_class(spark, sf_dir):
+    """(coarse, a, b, sim, fa, fb) of all pairs in both directions within a class."""
+    df = rows(spark, sf_dir)
+    side = df.select("id", "v", F.col("coarse").alias("g"))
+    pairs = similarity.pairs_over(side, side, -2.0, CLASS_BLOCK)
+    a, b = df.select(F.col("id").alias("a"), "coarse", F.col("fine").alias("fa")), df.select(F.col("id").alias("b"), F.col("fine").alias("fb"))
+    return pairs.join(F.broadcast(a), "a").join(F.broadcast(b), "b")
+
+
+@register("pair_zscore_by_class", f"WITH {_E} SELECT ca AS coarse, a, b, round((sim - avg(sim) OVER (PARTITION BY ca)) / nullif(stddev_pop(sim) OVER (PARTITION BY ca), 0), 5) AS z FROM P WHERE ca = cb")
+def pair_zscore_by_class(spark, sf_dir):
+    pairs = _pairs_by_class(spark, sf_dir)
+    whole = pairs.groupBy("coarse").agg(F.avg("sim").alias("m"), F.stddev_pop("sim").alias("s"))
+    return pairs.join(F.broadcast(whole), "coarse").select("coarse", "a", "b", F.round(F.try_divide(F.col("sim") - F.col("m"), F.col("s")), 5).alias("z"))  # one row a class
+
+
+@register("pair_auroc_by_class", f"""WITH {_E}, R AS (SELECT ca, fa = fb AS same, rank() OVER (PARTITION BY ca ORDER BY s9) + (count(*) OVER (PARTITION BY ca, s9) - 1) / 2.0 AS r FROM (SELECT *, round(sim, 9) AS s9 FROM P WHERE a < b AND ca = cb))
+SELECT ca AS coarse, round((sum(CASE WHEN same THEN r END) - count_if(same) * (count_if(same) + 1) / 2.0) / nullif(count_if(same) * count_if(NOT same), 0), 6) AS auroc FROM R GROUP BY ca""")
+def pair_auroc_by_class(spark, sf_dir):
+    scored = _pairs_by_class(spark, sf_dir).where("a < b").select("coarse", F.round("sim", 9).alias("sim"), (F.col("fa") == F.col("fb")).alias("same"))
+    return metrics.auroc_by(scored, "coarse", "sim", "same").select("coarse", F.round("auroc", 6).alias("auroc"))
+
+
 @register("prototype_assignment", f"""WITH {_E}, C AS (SELECT fine, coarse, list(x ORDER BY i) AS c FROM (SELECT fine, coarse, i, avg(v[i]) AS x FROM E, range(1, 65) t(i) GROUP BY ALL) GROUP BY ALL)
 SELECT id, E.fine AS fine, C.fine AS assigned FROM E JOIN C ON E.coarse = C.coarse QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_cosine_similarity(v, c), 9) DESC, C.fine) = 1""")
 def prototype_assignment(spark, sf_dir):
