@@ -83,6 +83,27 @@ def test_byte_model_sums_to_one():
     assert p.sum(axis=1) == pytest.approx(1, rel=1e-5)
 
 
+def test_lm_in_parts_scores_order_three(spark):
+    df = docs(spark)
+    held = common.crc_mod("doc_id", 7) == 2
+    rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
+    trie = Trie([t.encode() for d, t in rows if zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2])
+    expected = sorted((-1 if d is None else d, trie.score(t.encode())) for d, t in rows)
+    for size in (20, 1 << 20):
+        out = lmscore.score(df, ~held, ["doc_id"], part_cells=size).toPandas()
+        for a, b in zip(sorted(zip(out.doc_id.fillna(-1).astype(int), out.score)), expected, strict=True):
+            assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-5)
+
+
+def test_large_byte_model_keeps_order_three():
+    rng = np.random.default_rng(0)
+    contexts = np.unique(rng.integers(0, 1 << 24, 400_000))  # dense rows of all symbols would be some 100 million cells
+    model = lmscore.ByteModel(np.concatenate([contexts << 8 | 65, contexts[::7] << 8 | 66]), np.concatenate([np.full(len(contexts), 3.0), np.full(len(contexts[::7]), 2.0)]))
+    some = contexts[::7][:100] << 8
+    assert 10 ** model.logs(some | 65) == pytest.approx(3 / 7, rel=1e-5) and 10 ** model.logs(some | 66) == pytest.approx(2 / 7, rel=1e-5)
+    assert sum(10 ** model.logs(some | x) for x in range(256)) == pytest.approx(1, rel=1e-5)
+
+
 def test_language_id(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = common.crc_mod("doc_id", 3) == 1
