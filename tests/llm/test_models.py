@@ -183,3 +183,15 @@ def test_urls_untested_branches_stay_apart(spark):
     assert first["one.com", "en"] == {("en", round((60 + 10 * one) / 70, 9))}
     assert first["one.com", "fr"] == {("fr", round(one, 9))} and first["one.com", "es"] == {("es", round(one, 9))}
     assert first["two.com", "en"] == first["two.com", "de"] and {t for t, _ in first["two.com", "en"]} == {"*"}  # tested, and alike
+
+
+def test_urls_small_shares_and_deep_paths_have_their_templates(spark):
+    rules = [("block", "com", "/bad/x"), ("allow", "com", "/ok"), ("block", "com", "/a/b/c/d/x"), ("allow", "com", "/a/b/c/e/x")]
+    paths = [f"/ok{k}/{i}" for k in range(30) for i in range(40)] + [f"/bad/x{i}" for i in range(20)] + [f"/bad/y{i}" for i in range(10)]  # /bad: 30 of 1,330 rows
+    paths += [f"/a/b/c/{d}/{x}{i}" for d in "de" for x in "xy" for i in range(25)] + ["/*/1"] + ["/one/long/path"] * 25
+    out = urls.judge(spark.createDataFrame([(i, f"http://h.com{p}") for i, p in enumerate(paths)], "page_id long, url string"), rules).collect()
+    got = {r["path"]: (r["template"], r["verdict"]) for r in out}
+    assert len(out) == len(paths)
+    assert got["/bad/y3"] == ("bad/*", "block") and got["/ok7/1"][1] == "allow"
+    assert got["/a/b/c/d/y1"] == ("a/b/c/d/*", "block") and got["/a/b/c/e/y1"] == ("a/b/c/e/*", "allow")
+    assert got["/one/long/path"][0] == "one/long/path"
