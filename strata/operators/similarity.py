@@ -31,7 +31,14 @@ def _blocks(ref: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield own["id"].to_numpy(np.int64), _units(own["v"]), own["g"].to_numpy(np.int64) if "g" in own else None
 
 
-def _similar(queries: DataFrame, ref: DataFrame, choose: Callable, block: int) -> DataFrame:
+def _sliced(frames: Iterator[pd.DataFrame], rows: int | None) -> Iterator[pd.DataFrame]:
+    """The frames in pieces of at most ``rows`` rows, if it is set."""
+    for frame in frames:
+        step = rows or max(1, len(frame))
+        yield from (frame.iloc[i : i + step] for i in range(0, len(frame), step))
+
+
+def _similar(queries: DataFrame, ref: DataFrame, choose: Callable, block: int, rows: int | None = None) -> DataFrame:
     """Rows (a, b, sim) that ``choose(similarities, allowed)`` marks, over all blocks; never a row with itself."""
     spark, found = queries.sparkSession, None
     grouped = "g" in queries.columns and "g" in ref.columns
@@ -40,7 +47,7 @@ def _similar(queries: DataFrame, ref: DataFrame, choose: Callable, block: int) -
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, units, groups = shared.value
-            for frame in frames:
+            for frame in _sliced(frames, rows):
                 if not len(frame) or not len(ids):
                     continue
                 own = frame["id"].to_numpy(np.int64)
@@ -56,7 +63,7 @@ def _similar(queries: DataFrame, ref: DataFrame, choose: Callable, block: int) -
     return found
 
 
-def top_k(queries: DataFrame, ref: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, ref: DataFrame, k: int, block: int = BLOCK, rows: int | None = None) -> DataFrame:
     """(a, b, sim, rank): the k most similar others of each query by cosine, ties to the smaller id; within equal ``g`` if both sides have it.
 
     Sides are (id long, v array[, g long]). Each block gives at most k rows a query; the window ranks what blocks gave.
@@ -64,12 +71,12 @@ def top_k(queries: DataFrame, ref: DataFrame, k: int, block: int = BLOCK) -> Dat
 
     def choose(sims: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(sims)), order.shape[1])
-        kept = np.isfinite(sims[rows, order.reshape(-1)])
-        return rows[kept], order.reshape(-1)[kept]
+        row = np.repeat(np.arange(len(sims)), order.shape[1])
+        kept = np.isfinite(sims[row, order.reshape(-1)])
+        return row[kept], order.reshape(-1)[kept]
 
     order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return _similar(queries, ref, choose, block).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _similar(queries, ref, choose, block, rows).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def ranks_in(asked: DataFrame, ref: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -100,18 +107,18 @@ def ranks_in(asked: DataFrame, ref: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.groupBy("id", "target").agg((F.sum("n") + 1).cast("int").alias("rank"))
 
 
-def both_ways(side: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def both_ways(side: DataFrame, k: int, block: int = BLOCK, rows: int | None = None) -> DataFrame:
     """(a, b, rank_ab, rank_ba) of the pairs among the first k of a whose rank is no worse than that the other way; of equal ranks the smaller id asks."""
-    first = top_k(side, side, k, block).select("a", "b", "sim", "rank")
+    first = top_k(side, side, k, block, rows).select("a", "b", "sim", "rank")
     asked = first.select(F.col("b").alias("id"), F.col("a").alias("target"), "sim").join(side, "id")
     back = ranks_in(asked, side, block).select(F.col("id").alias("b"), F.col("target").alias("a"), F.col("rank").alias("rank_ba"))
     both = first.select("a", "b", F.col("rank").alias("rank_ab")).join(back, ["a", "b"])
     return both.where("rank_ab < rank_ba OR rank_ab = rank_ba AND a < b").select("a", "b", "rank_ab", "rank_ba")
 
 
-def pairs_over(queries: DataFrame, ref: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def pairs_over(queries: DataFrame, ref: DataFrame, threshold: float, block: int = BLOCK, rows: int | None = None) -> DataFrame:
     """(a, b, sim) of all pairs with cosine at least ``threshold``."""
-    return _similar(queries, ref, lambda sims, ids: np.nonzero(sims >= threshold), block)
+    return _similar(queries, ref, lambda sims, ids: np.nonzero(sims >= threshold), block, rows)
 
 
 def hamming_pairs(a: DataFrame, b: DataFrame, most: int, bits: int = 64) -> DataFrame:

@@ -126,15 +126,15 @@ def rank_both_ways(spark, sf_dir):
     return similarity.both_ways(side, 5)
 
 
-#: Rows of the reference side at once where whole classes are compared.
-CLASS_BLOCK = 1 << 12
+#: Rows of the reference side and of the asking side at once where whole classes are compared.
+CLASS_BLOCK, CLASS_ROWS = 1 << 13, 1 << 9
 
 
 @register("rank_both_ways_by_class", f"""WITH {_E}, R AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM P WHERE ca = cb)
 SELECT x.ca AS coarse, x.a, x.b, x.rank AS rank_ab, y.rank AS rank_ba FROM R x JOIN R y ON x.a = y.b AND x.b = y.a WHERE x.rank <= 5 AND (x.rank < y.rank OR x.rank = y.rank AND x.a < x.b)""")
 def rank_both_ways_by_class(spark, sf_dir):
     df = rows(spark, sf_dir)
-    found = similarity.both_ways(df.select("id", "v", F.col("coarse").alias("g")), 5, CLASS_BLOCK)
+    found = similarity.both_ways(df.select("id", "v", F.col("coarse").alias("g")), 5, CLASS_BLOCK, CLASS_ROWS)
     return found.join(df.select(F.col("id").alias("a"), "coarse"), "a").select("coarse", "a", "b", "rank_ab", "rank_ba")
 
 
@@ -237,7 +237,7 @@ def _pairs_by_class(spark, sf_dir):
     """(coarse, a, b, sim, fa, fb) of all pairs in both directions within a class."""
     df = rows(spark, sf_dir)
     side = df.select("id", "v", F.col("coarse").alias("g"))
-    pairs = similarity.pairs_over(side, side, -2.0, CLASS_BLOCK)
+    pairs = similarity.pairs_over(side, side, -2.0, CLASS_BLOCK, CLASS_ROWS)
     a, b = df.select(F.col("id").alias("a"), "coarse", F.col("fine").alias("fa")), df.select(F.col("id").alias("b"), F.col("fine").alias("fb"))
     return pairs.join(F.broadcast(a), "a").join(F.broadcast(b), "b")
 
