@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from strata.functions.sampling import hash_uniform
 
+from .blocks import complete
+from .durable import settled
+
 #: Labels on a side of an assignment; more is an error, as the solver takes cubic time.
 MOST_LABELS = 4000
 
@@ -115,7 +118,7 @@ def k_means(df: DataFrame, k: int, seed: int = 0, starts: int = 1, iterations: i
     An iteration broadcasts the centres and sums rows by cluster inside each partition, so k rows a partition move.
     Fewer distinct rows than k give fewer centres; a cluster that loses its rows keeps its centre; no rows give none.
     """
-    df = df.where("v IS NOT NULL").select("id", "v").persist()
+    df = settled(complete(df).select("id", "v"))
 
     def step(centres: np.ndarray) -> tuple[np.ndarray, float]:
         shared = df.sparkSession.sparkContext.broadcast(centres)
@@ -141,21 +144,18 @@ def k_means(df: DataFrame, k: int, seed: int = 0, starts: int = 1, iterations: i
         return moved, cost
 
     best: tuple[np.ndarray, float] = (np.zeros((0, 0)), 0.0)
-    try:
-        for start in range(starts):
-            centres = _seeds(df, k, seed + start)
-            if not len(centres):
-                return best
-            cost = np.inf
-            for _ in range(iterations):
-                moved, cost = step(centres)
-                if np.allclose(moved, centres, rtol=0, atol=1e-9):
-                    break
-                centres = moved
-            if start == 0 or cost < best[1]:
-                best = centres, cost
-    finally:
-        df.unpersist()
+    for start in range(starts):
+        centres = _seeds(df, k, seed + start)
+        if not len(centres):
+            return best
+        cost = np.inf
+        for _ in range(iterations):
+            moved, cost = step(centres)
+            if np.allclose(moved, centres, rtol=0, atol=1e-9):
+                break
+            centres = moved
+        if start == 0 or cost < best[1]:
+            best = centres, cost
     return best
 
 

@@ -40,6 +40,11 @@ def codes_by_first(df: DataFrame, value: str, order: str) -> DataFrame:
     return first.select(value, (F.row_number().over(Window.orderBy("first")) - 1).alias("code"))
 
 
+def codes_sorted(df: DataFrame, value: str) -> DataFrame:
+    """Dense codes of values in their own order, from zero. One row a value reaches the window."""
+    return df.select(value).distinct().select(value, (F.row_number().over(Window.orderBy(value)) - 1).alias("code"))
+
+
 def left_closed_bins(value: Column, edges: list[float]) -> Column:
     """Index of the bin [edge, next edge) a value falls in, else null."""
     chosen = F.lit(None).cast("int")

@@ -81,6 +81,39 @@ def agreement(df: DataFrame, y: str, c: str) -> DataFrame:
     return one.select(ari.alias("ari"), nmi.alias("nmi"))
 
 
+def agreement_by(df: DataFrame, group: str, y: str, c: str) -> DataFrame:
+    """(group, ari, nmi, n) of two labellings in each group, from one contingency table; null where it is undefined."""
+    cells = df.groupBy(group, y, c).agg(F.count("*").cast("double").alias("n"))
+    pairs = lambda x: x * (x - 1) / 2
+    n = F.col("n")
+
+    def sums(table: DataFrame, tag: str) -> DataFrame:
+        return table.groupBy(group).agg(F.sum(n * F.ln(n)).alias(f"h_{tag}"), F.sum(pairs(n)).alias(f"p_{tag}"), F.sum(n).alias(f"t_{tag}"))
+
+    side = lambda x: cells.groupBy(group, x).agg(F.sum("n").alias("n"))
+    one = sums(cells, "yc").join(sums(side(y), "y"), group).join(sums(side(c), "c"), group)
+    t = F.col("t_yc")
+    expected = F.try_divide(F.col("p_y") * F.col("p_c"), pairs(t))
+    ari = F.try_divide(F.col("p_yc") - expected, (F.col("p_y") + F.col("p_c")) / 2 - expected)
+    h = lambda s: F.ln(t) - F.col(f"h_{s}") / t
+    nmi = F.try_divide(h("y") + h("c") - h("yc"), (h("y") + h("c")) / 2)
+    return one.select(group, ari.alias("ari"), nmi.alias("nmi"), t.cast("long").alias("n"))
+
+
+def variance_ratio(df: DataFrame, least: int = 3) -> DataFrame:
+    """(coarse, var_ratio) of unit vectors (coarse, fine, u): the traces of the fine classes' covariances, weighted by size, over that of the coarse class. Fine classes of under ``least`` rows are left out."""
+    trace = lambda: F.try_divide(F.col("q") - dot(F.col("s"), F.col("s")) / F.col("n"), F.col("n") - 1)
+    fine = group_sums(df, ["coarse", "fine"]).where(F.col("n") >= least).select("coarse", "n", trace().alias("t"))
+    inside = fine.groupBy("coarse").agg((F.sum(F.col("n") * F.col("t")) / F.sum("n")).alias("inside"))
+    return group_sums(df, ["coarse"]).select("coarse", trace().alias("t")).join(inside, "coarse", "left").select("coarse", F.try_divide("inside", "t").alias("var_ratio"))
+
+
+def geometry_ratios(distances: DataFrame) -> DataFrame:
+    """(coarse, d0, d1, d2, r01, r12, eq1, eq2) from pair_distances: ratios, and whether d0 < d1 and d1 < d2; both are undefined without d1."""
+    known = lambda c: F.when(F.col("d1").isNotNull(), F.when(c, 1.0).otherwise(0.0))
+    return distances.select("coarse", "d0", "d1", "d2", F.try_divide("d0", "d1").alias("r01"), F.try_divide("d1", "d2").alias("r12"), known(F.col("d0") < F.col("d1")).alias("eq1"), known(F.col("d1") < F.col("d2")).alias("eq2"))
+
+
 def prevalence_gap(df: DataFrame, dimension: DataFrame, key: str, side: Column) -> DataFrame:
     """One row: total variation and add-one-smoothed KL(first || second) of two histograms over a dimension. ``side`` is true for the first."""
     counts = dimension.select(key).distinct().join(df.select(key, side.alias("side")).groupBy(key).agg(F.count_if("side").alias("p"), F.count_if(~F.col("side")).alias("q")), key, "left").na.fill(0, ["p", "q"])
@@ -141,6 +174,19 @@ def bootstrap(df: DataFrame, group: str, id_column: str, value: str, draws: int,
     return named.unionByName(macro.select(F.lit("macro").alias("group"), "mean", "lo", "hi", "n"))
 
 
+def point_table(df: DataFrame, group: str, values: list[str]) -> DataFrame:
+    """(group, metric, mean, lo, hi, n): means of each group and the macro row, the mean of the groups' means, without intervals; nulls are left out."""
+    wide = df.groupBy(group).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("n"))
+    macro = wide.agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("n"))
+    both = wide.withColumn("group", F.col(group).cast("string")).unionByName(macro.withColumn("group", F.lit("macro")), allowMissingColumns=True)
+    return without_ci(both.unpivot(["group", "n"], values, "metric", "mean").withColumns({"lo": F.lit(0.0), "hi": F.lit(0.0)}), values).select("group", "metric", "mean", "lo", "hi", "n")
+
+
+def without_ci(table: DataFrame, names: list[str]) -> DataFrame:
+    """The table with null lo and hi in the rows of these metrics."""
+    return table.withColumns({c: F.when(~F.col("metric").isin(names), F.col(c)) for c in ("lo", "hi")})
+
+
 def worse_than(value: str, base: str, lower_is_better: Column, margin: float) -> Column:
     """With intervals on both sides: disjoint on the bad side; else a relative margin. ``value`` and ``base`` are structs (mean, lo, hi)."""
     v, b = F.col(value), F.col(base)

@@ -1,4 +1,4 @@
-"""Set-versus-set distances and spectra, as Arrow-batched partial sums over blocks."""
+"""Set-versus-set distances and spectra, as Arrow-batched partial sums over blocks. Rows with a null vector take no part."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .similarity import BLOCK
+from .blocks import BLOCK, Side, block_pairs
 
 
 def _dense(v) -> np.ndarray:
@@ -17,24 +17,31 @@ def _dense(v) -> np.ndarray:
 
 
 def _kernel_sum(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
-    """(s, n): sum and number of (x.y / d + 1) ** 3 over pairs of different ids; the right side is broadcast block by block."""
-    spark, found = left.sparkSession, None
-    n = max(1, -(-right.count() // block))
-    for i in range(n):
-        own = right.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).toPandas()
-        shared = spark.sparkContext.broadcast((own["id"].to_numpy(), _dense(own["v"]) if len(own) else None))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, y = shared.value
-            for frame in frames:
-                if len(frame) and y is not None:
-                    x = _dense(frame["v"])
-                    kernel = np.where(frame["id"].to_numpy()[:, None] != ids[None, :], (x @ y.T / x.shape[1] + 1) ** 3, np.nan)
-                    yield pd.DataFrame({"s": [np.nansum(kernel)], "n": [int(np.isfinite(kernel).sum())]})
-
-        part = left.mapInPandas(run, "s double, n long")
-        found = part if found is None else found.unionByName(part)
-    return found.agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    """(s, n): sum and number of (x.y / d + 1) ** 3 over pairs of different ids."""
+
+    def add(own: Side, other: Side) -> pd.DataFrame:
+        kernel = np.where(own.ids[:, None] != other.ids[None, :], (own.v @ other.v.T / own.v.shape[1] + 1) ** 3, np.nan)
+        return pd.DataFrame({"s": [np.nansum(kernel)], "n": [int(np.isfinite(kernel).sum())]})
+
+    return block_pairs(left, right, add, "s double, n long", block=block).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def kernel_by(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(g, h, s, n): kernel sums over pairs of different ids by the groups ``g`` of the left and ``h`` of the right rows (id, v, group long)."""
+
+    def add(own: Side, other: Side) -> pd.DataFrame:
+        kernel = (own.v @ other.v.T / own.v.shape[1] + 1) ** 3
+        different = own.ids[:, None] != other.ids[None, :]
+        rows, row_of = np.unique(own.x[:, 0], return_inverse=True)
+        columns, column_of = np.unique(other.x[:, 0], return_inverse=True)
+        cell = row_of[:, None] * len(columns) + column_of[None, :]
+        size = len(rows) * len(columns)
+        s = np.bincount(cell[different], weights=kernel[different], minlength=size)
+        n = np.bincount(cell[different], minlength=size)
+        return pd.DataFrame({"g": np.repeat(rows, len(columns)).astype(np.int64), "h": np.tile(columns, len(rows)).astype(np.int64), "s": s, "n": n})
+
+    found = block_pairs(left, right, add, "g long, h long, s double, n long", (["group"], ["group"]), block)
+    return found.groupBy("g", "h").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def kernel_distance(x: DataFrame, y: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -68,51 +75,41 @@ def participation(df: DataFrame, key: str) -> DataFrame:
     return centred.groupBy(key).agg(F.try_divide(F.pow(F.sum(F.when(F.col("r") == F.col("c"), F.col("g"))), F.lit(2)), F.nullif(F.sum(F.col("g") * F.col("g")), F.lit(0.0))).alias("pr"))
 
 
-def precision_recall(real: DataFrame, made: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """One row: precision, recall, density and coverage by k-nearest-neighbour balls (inclusive) of two sets (id, v); null if a side has at most k rows.
-
-    Each pass broadcasts one block of one side, and a window over at most k rows a block and row finds the radii.
-    """
-    spark = real.sparkSession
-
-    def passes(rows: DataFrame, ref: DataFrame, function, schema: str) -> DataFrame:
-        found, n = None, max(1, -(-ref.count() // block))
-        for i in range(n):
-            own = ref.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).toPandas()
-            shared = spark.sparkContext.broadcast((own["id"].to_numpy(), _dense(own["v"]) if len(own) else None, own["r"].to_numpy() if "r" in own else None))
-
-            def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                ids, y, r = shared.value
-                for frame in frames:
-                    if len(frame) and y is not None:
-                        x = _dense(frame["v"])
-                        square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
-                        yield function(frame, np.sqrt(np.maximum(0, square)), ids, r)
-
-            part = rows.mapInPandas(run, schema)
-            found = part if found is None else found.unionByName(part)
-        return found
-
-    def nearest(frame, distance, ids, r):
-        distance = np.where(frame["id"].to_numpy()[:, None] == ids[None, :], np.inf, distance)
+def _distances(own: Side, other: Side) -> np.ndarray:
+    square = (own.v * own.v).sum(axis=1)[:, None] + (other.v * other.v).sum(axis=1)[None, :] - 2 * own.v @ other.v.T
+    return np.sqrt(np.maximum(0, square))
+
+
+def radii(side: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(id, r): the Euclidean distance of each row (id, v[, g]) to its k-th nearest other; rows with fewer others are left out."""
+
+    def nearest(own: Side, other: Side) -> pd.DataFrame:
+        distance = np.where(own.ids[:, None] == other.ids[None, :], np.inf, _distances(own, other))
         first = np.sort(distance, axis=1)[:, :k]
-        return pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), first.shape[1]), "d": first.reshape(-1)})
+        kept = np.isfinite(first)
+        return pd.DataFrame({"id": np.repeat(own.ids, kept.sum(axis=1)), "d": first[kept]})
+
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d"))
+    return block_pairs(side, side, nearest, "id long, d double", block=block).withColumn("place", place).where(F.col("place") == k).select("id", F.col("d").alias("r"))
 
-    def radii(side: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("id").orderBy("d"))
-        found = passes(side, side, nearest, "id long, d double").withColumn("place", place).where(F.col("place") == k).select("id", F.col("d").alias("r"))
-        return side.join(found, "id")
 
-    def inside(frame, distance, ids, r):
-        return pd.DataFrame({"id": frame["id"], "n": (distance <= r[None, :]).sum(axis=1), "own": (distance <= frame["r"].to_numpy()[:, None]).any(axis=1)})
+def inside_balls(rows: DataFrame, balls: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, n, own): for rows (id, v, r[, g]), how many balls (id, v, r[, g]) hold each, boundary included, and whether its own ball holds one of their centres."""
 
-    def held(rows: DataFrame, ref: DataFrame) -> DataFrame:
-        return passes(rows, ref, inside, "id long, n long, own boolean").groupBy("id").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+    def inside(own: Side, other: Side) -> pd.DataFrame:
+        distance = _distances(own, other)
+        return pd.DataFrame({"id": own.ids, "n": (distance <= other.x[:, 0][None, :]).sum(axis=1), "own": (distance <= own.x[:, 0][:, None]).any(axis=1)})
 
-    real, made = radii(real), radii(made)
+    found = block_pairs(rows, balls, inside, "id long, n long, own boolean", (["r"], ["r"]), block)
+    return found.groupBy("id").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+
+
+def precision_recall(real: DataFrame, made: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """One row: precision, recall, density and coverage by k-nearest-neighbour balls (inclusive) of two sets (id, v); null if a side has at most k rows."""
+    real, made = real.join(radii(real, k, block), "id"), made.join(radii(made, k, block), "id")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    a = held(made, real).agg(share(F.col("n") > 0).alias("precision"), (F.avg("n") / k).alias("density"))
-    b = held(real, made).agg(share(F.col("n") > 0).alias("recall"), share(F.col("own")).alias("coverage"))
+    a = inside_balls(made, real, block).agg(share(F.col("n") > 0).alias("precision"), (F.avg("n") / k).alias("density"))
+    b = inside_balls(real, made, block).agg(share(F.col("n") > 0).alias("recall"), share(F.col("own")).alias("coverage"))
     return a.crossJoin(F.broadcast(b))  # one row each
 
 

@@ -1,69 +1,38 @@
 """Pair operators: blocked top-k, threshold joins, banded Hamming joins, ranks and neighbour metrics.
 
-The reference side is taken in blocks of at most ``BLOCK`` rows; a block is what is broadcast, however large that side.
+Similarities are cosines; rows without a whole vector, or with one of length zero, are similar to none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 15
+from .blocks import BLOCK, Side, block_pairs
 
 
-def _units(vectors) -> np.ndarray:
-    if len(vectors) == 0:
-        return np.zeros((0, 0))
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _units(x: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _blocks(ref: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """The reference side, block by block: (ids, unit vectors, group labels). Groups are null-free integers if there are any."""
-    n = max(1, -(-ref.count() // block))
-    for i in range(n):
-        own = ref.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).toPandas()
-        yield own["id"].to_numpy(np.int64), _units(own["v"]), own["g"].to_numpy(np.int64) if "g" in own else None
+def _similar(queries: DataFrame, ref: DataFrame, choose: Callable, block: int) -> DataFrame:
+    """Rows (a, b, sim) that ``choose(similarities, ids)`` marks, over all pairs of blocks; never a row with itself."""
 
+    def search(own: Side, other: Side) -> pd.DataFrame:
+        sims = np.round(_units(own.v) @ _units(other.v).T, 12)  # products of other shapes differ in their last bits
+        allowed = (own.ids[:, None] != other.ids[None, :]) & np.isfinite(sims)
+        i, j = choose(np.where(allowed, sims, -np.inf), other.ids)
+        return pd.DataFrame({"a": own.ids[i], "b": other.ids[j], "sim": sims[i, j]})
 
-def _sliced(frames: Iterator[pd.DataFrame], rows: int | None) -> Iterator[pd.DataFrame]:
-    """The frames in pieces of at most ``rows`` rows, if it is set."""
-    for frame in frames:
-        step = rows or max(1, len(frame))
-        yield from (frame.iloc[i : i + step] for i in range(0, len(frame), step))
+    return block_pairs(queries, ref, search, "a long, b long, sim double", block=block)
 
 
-def _similar(queries: DataFrame, ref: DataFrame, choose: Callable, block: int, rows: int | None = None) -> DataFrame:
-    """Rows (a, b, sim) that ``choose(similarities, allowed)`` marks, over all blocks; never a row with itself."""
-    spark, found = queries.sparkSession, None
-    grouped = "g" in queries.columns and "g" in ref.columns
-    for ids, units, groups in _blocks(ref, block):
-        shared = spark.sparkContext.broadcast((ids, units, groups))
-
-        def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, units, groups = shared.value
-            for frame in _sliced(frames, rows):
-                if not len(frame) or not len(ids):
-                    continue
-                own = frame["id"].to_numpy(np.int64)
-                sims = _units(frame["v"]) @ units.T
-                allowed = own[:, None] != ids[None, :]
-                if grouped:
-                    allowed &= frame["g"].to_numpy(np.int64)[:, None] == groups[None, :]
-                i, j = choose(np.where(allowed, sims, -np.inf), ids)
-                yield pd.DataFrame({"a": own[i], "b": ids[j], "sim": sims[i, j]})
-
-        part = queries.mapInPandas(search, "a long, b long, sim double")
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def top_k(queries: DataFrame, ref: DataFrame, k: int, block: int = BLOCK, rows: int | None = None) -> DataFrame:
+def top_k(queries: DataFrame, ref: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(a, b, sim, rank): the k most similar others of each query by cosine, ties to the smaller id; within equal ``g`` if both sides have it.
 
     Sides are (id long, v array[, g long]). Each block gives at most k rows a query; the window ranks what blocks gave.
@@ -76,7 +45,7 @@ def top_k(queries: DataFrame, ref: DataFrame, k: int, block: int = BLOCK, rows:
         return row[kept], order.reshape(-1)[kept]
 
     order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return _similar(queries, ref, choose, block, rows).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _similar(queries, ref, choose, block).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def ranks_in(asked: DataFrame, ref: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -84,41 +53,41 @@ def ranks_in(asked: DataFrame, ref: DataFrame, block: int = BLOCK) -> DataFrame:
 
     ``sim`` is that of id and target. Similarities within 1e-12 are equal, as products of other shapes differ in their last bits; then the smaller id is first.
     """
-    spark, found = asked.sparkSession, None
-    grouped = "g" in asked.columns and "g" in ref.columns
-    for ids, units, groups in _blocks(ref, block):
-        shared = spark.sparkContext.broadcast((ids, units, groups))
-
-        def count(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, units, groups = shared.value
-            step = max(1, (1 << 22) // max(1, len(ids)))  # cells at once
-            for whole in frames:
-                for frame in (whole.iloc[i : i + step] for i in range(0, len(whole) if len(ids) else 0, step)):
-                    own, target, sim = frame["id"].to_numpy(np.int64), frame["target"].to_numpy(np.int64), frame["sim"].to_numpy()
-                    ahead = _units(frame["v"]) @ units.T - sim[:, None]
-                    better = (ahead > 1e-12) | (np.abs(ahead) <= 1e-12) & (ids[None, :] < target[:, None])
-                    better &= (ids[None, :] != own[:, None]) & (ids[None, :] != target[:, None])
-                    if grouped:
-                        better &= frame["g"].to_numpy(np.int64)[:, None] == groups[None, :]
-                    yield pd.DataFrame({"id": own, "target": target, "n": better.sum(axis=1)})
-
-        part = asked.mapInPandas(count, "id long, target long, n long")
-        found = part if found is None else found.unionByName(part)
+
+    def count(own: Side, other: Side) -> pd.DataFrame:
+        target, sim = own.x[:, 0].astype(np.int64), own.x[:, 1]  # ids under 2**53 are whole in double
+        ahead = _units(own.v) @ _units(other.v).T - sim[:, None]
+        better = (ahead > 1e-12) | (np.abs(ahead) <= 1e-12) & (other.ids[None, :] < target[:, None])
+        better &= (other.ids[None, :] != own.ids[:, None]) & (other.ids[None, :] != target[:, None])
+        return pd.DataFrame({"id": own.ids, "target": target, "n": better.sum(axis=1)})
+
+    found = block_pairs(asked, ref, count, "id long, target long, n long", (["target", "sim"], []), block)
     return found.groupBy("id", "target").agg((F.sum("n") + 1).cast("int").alias("rank"))
 
 
-def both_ways(side: DataFrame, k: int, block: int = BLOCK, rows: int | None = None) -> DataFrame:
+def both_ways(side: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(a, b, rank_ab, rank_ba) of the pairs among the first k of a whose rank is no worse than that the other way; of equal ranks the smaller id asks."""
-    first = top_k(side, side, k, block, rows).select("a", "b", "sim", "rank")
+    first = top_k(side, side, k, block).select("a", "b", "sim", "rank")
     asked = first.select(F.col("b").alias("id"), F.col("a").alias("target"), "sim").join(side, "id")
     back = ranks_in(asked, side, block).select(F.col("id").alias("b"), F.col("target").alias("a"), F.col("rank").alias("rank_ba"))
     both = first.select("a", "b", F.col("rank").alias("rank_ab")).join(back, ["a", "b"])
     return both.where("rank_ab < rank_ba OR rank_ab = rank_ba AND a < b").select("a", "b", "rank_ab", "rank_ba")
 
 
-def pairs_over(queries: DataFrame, ref: DataFrame, threshold: float, block: int = BLOCK, rows: int | None = None) -> DataFrame:
+def pairs_over(queries: DataFrame, ref: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, sim) of all pairs with cosine at least ``threshold``."""
-    return _similar(queries, ref, lambda sims, ids: np.nonzero(sims >= threshold), block, rows)
+    return _similar(queries, ref, lambda sims, ids: np.nonzero(sims >= threshold), block)
+
+
+def two_similarities(side: DataFrame, at: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, first, second): cosines of the first ``at`` components and of the others, for all pairs within a group of rows (id, v, g), in both directions."""
+
+    def compare(own: Side, other: Side) -> pd.DataFrame:
+        i, j = np.nonzero(own.ids[:, None] != other.ids[None, :])
+        both = [_units(own.v[:, part]) @ _units(other.v[:, part]).T for part in (slice(None, at), slice(at, None))]
+        return pd.DataFrame({"a": own.ids[i], "b": other.ids[j], "first": both[0][i, j], "second": both[1][i, j]})
+
+    return block_pairs(side, side, compare, "a long, b long, first double, second double", block=block)
 
 
 def hamming_pairs(a: DataFrame, b: DataFrame, most: int, bits: int = 64) -> DataFrame:
@@ -151,6 +120,32 @@ def vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return votes.groupBy("a").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y"))
 
 
+def weighted_graph(neighbours: DataFrame, k: int) -> DataFrame:
+    """(a, b, w) from ranked neighbours: exp(-d2 / (s_a s_b)) with s the distance to the k-th neighbour, the greater of both directions.
+
+    Distances are Euclidean between unit vectors, so d2 = 2 - 2 sim. A row with fewer than k neighbours takes its last.
+    """
+    scale = neighbours.where(F.col("rank") <= k).groupBy("a").agg(F.sqrt(F.greatest(F.max(2 - 2 * F.col("sim")), F.lit(0.0))).alias("s"))
+    other = scale.select(F.col("a").alias("b"), F.col("s").alias("s_b"))
+    d2 = F.greatest(2 - 2 * F.col("sim"), F.lit(0.0))
+    edges = neighbours.join(scale, "a").join(other, "b").select("a", "b", F.exp(-d2 / F.greatest(F.col("s") * F.col("s_b"), F.lit(1e-12))).alias("w"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    return both.groupBy("a", "b").agg(F.max("w").alias("w"))
+
+
+def adjacency(pairs: DataFrame) -> DataFrame:
+    """(id, others): each id's partners in either direction, sorted."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_set("b")).alias("others"))
+
+
+def links_between(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row, n: the pairs (a, b) with one end among ``left`` (id) and the other among ``right`` (id), each pair once."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    held = both.join(left.select(F.col("id").alias("a")), "a", "left_semi").join(right.select(F.col("id").alias("b")), "b", "left_semi")
+    return held.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().agg(F.count("*").alias("n"))
+
+
 def graph(neighbours: DataFrame) -> DataFrame:
     """(a, b, sim) of the symmetric neighbour graph: the greater weight of both directions."""
     both = neighbours.select("a", "b", "sim").unionByName(neighbours.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))

@@ -46,10 +46,10 @@ def stratified_split(spark, sf_dir):
     return labels.stratified_split(rows(spark, sf_dir), "id", "fine", 0.1, 7, ("val", "train"))
 
 
-@register("similarity_pairs", f"WITH {_E} SELECT a, b, round(sim, 6) AS sim FROM P WHERE a < b AND sim >= 0.75")
+@register("similarity_pairs", f"WITH {_E} SELECT a, b, round(sim, 6) AS sim FROM P WHERE a < b AND sim >= 0.4")
 def similarity_pairs(spark, sf_dir):
     side = rows(spark, sf_dir).select("id", "v")
-    return similarity.pairs_over(side, side, 0.75).where("a < b").select("a", "b", F.round("sim", 6).alias("sim"))
+    return similarity.pairs_over(side, side, 0.4).where("a < b").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 def _signs(df: DataFrame) -> DataFrame:
@@ -60,26 +60,26 @@ def _signs(df: DataFrame) -> DataFrame:
 _HAMMING = "(SELECT sum(CASE WHEN (a.v[i] > 0) <> (b.v[i] > 0) THEN 1 ELSE 0 END) FROM range(1, 65) t(i))"
 
 
-@register("hamming_pairs", f"WITH {_E} SELECT * FROM (SELECT a.id AS a, b.id AS b, {_HAMMING}::INT AS dist FROM E a JOIN E b ON a.id < b.id) WHERE dist <= 7")
+@register("hamming_pairs", f"WITH {_E} SELECT * FROM (SELECT a.id AS a, b.id AS b, {_HAMMING}::INT AS dist FROM E a JOIN E b ON a.id < b.id) WHERE dist <= 18")
 def hamming_pairs(spark, sf_dir):
     side = _signs(rows(spark, sf_dir))
-    return similarity.hamming_pairs(side, side, 7).where("a < b")
+    return similarity.hamming_pairs(side, side, 18).where("a < b")
 
 
 @register("candidate_pairs", f"""WITH {_E}, H AS (SELECT a.id AS a, b.id AS b, {_HAMMING}::INT AS dist, list_cosine_similarity(a.v, b.v) AS sim FROM E a JOIN E b ON a.id < b.id)
-SELECT a, b, sim >= 0.8 AS flag_sim, dist <= 7 AS flag_hash FROM H WHERE sim >= 0.8 OR dist <= 7""")
+SELECT a, b, sim >= 0.4 AS flag_sim, dist <= 18 AS flag_hash FROM H WHERE sim >= 0.4 OR dist <= 18""")
 def candidate_pairs(spark, sf_dir):
     side = rows(spark, sf_dir)
-    near = similarity.pairs_over(side.select("id", "v"), side.select("id", "v"), 0.8).where("a < b").select("a", "b", F.lit(True).alias("flag_sim"))
+    near = similarity.pairs_over(side.select("id", "v"), side.select("id", "v"), 0.4).where("a < b").select("a", "b", F.lit(True).alias("flag_sim"))
     signs = _signs(side)
-    hashed = similarity.hamming_pairs(signs, signs, 7).where("a < b").select("a", "b", F.lit(True).alias("flag_hash"))
+    hashed = similarity.hamming_pairs(signs, signs, 18).where("a < b").select("a", "b", F.lit(True).alias("flag_hash"))
     return near.join(hashed, ["a", "b"], "full").na.fill(False, ["flag_sim", "flag_hash"])
 
 
-@register("pairs_per_row", f"WITH {_E}, N AS (SELECT a, count(*) AS n FROM P WHERE sim >= 0.75 GROUP BY a) SELECT id, coalesce(n, 0) AS n FROM E LEFT JOIN N ON id = a")
+@register("pairs_per_row", f"WITH {_E}, N AS (SELECT a, count(*) AS n FROM P WHERE sim >= 0.4 GROUP BY a) SELECT id, coalesce(n, 0) AS n FROM E LEFT JOIN N ON id = a")
 def pairs_per_row(spark, sf_dir):
     side = rows(spark, sf_dir).select("id", "v")
-    counts = similarity.pairs_over(side, side, 0.75).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    counts = similarity.pairs_over(side, side, 0.4).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
     return side.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -126,15 +126,11 @@ def rank_both_ways(spark, sf_dir):
     return similarity.both_ways(side, 5)
 
 
-#: Rows of the reference side and of the asking side at once where whole classes are compared.
-CLASS_BLOCK, CLASS_ROWS = 1 << 13, 1 << 9
-
-
 @register("rank_both_ways_by_class", f"""WITH {_E}, R AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM P WHERE ca = cb)
 SELECT x.ca AS coarse, x.a, x.b, x.rank AS rank_ab, y.rank AS rank_ba FROM R x JOIN R y ON x.a = y.b AND x.b = y.a WHERE x.rank <= 5 AND (x.rank < y.rank OR x.rank = y.rank AND x.a < x.b)""")
 def rank_both_ways_by_class(spark, sf_dir):
     df = rows(spark, sf_dir)
-    found = similarity.both_ways(df.select("id", "v", F.col("coarse").alias("g")), 5, CLASS_BLOCK, CLASS_ROWS)
+    found = similarity.both_ways(df.select("id", "v", F.col("coarse").alias("g")), 5)
     return found.join(df.select(F.col("id").alias("a"), "coarse"), "a").select("coarse", "a", "b", "rank_ab", "rank_ba")
 
 
@@ -205,15 +201,6 @@ def participation_ratio(spark, sf_dir):
     return participation(unit_rows(spark, sf_dir), "fine").select("fine", F.round("pr", 5).alias("pr"))
 
 
-@register("fidelity_knn_balls")
-def fidelity_knn_balls(spark, sf_dir):
-    from strata.operators.sets import precision_recall
-
-    train = F.expr("substr(md5(CAST(id AS STRING)), 1, 1) < '8'")
-    df = rows(spark, sf_dir).select("id", "v")
-    return precision_recall(df.where(train), df.where(~train), 5)
-
-
 @register("pair_zscore", f"WITH {_E} SELECT a, b, round((sim - avg(sim) OVER ()) / nullif(stddev_pop(sim) OVER (), 0), 5) AS z FROM P WHERE ca = 0 AND cb = 0")
 def pair_zscore(spark, sf_dir):
     side = rows(spark, sf_dir).where("coarse = 0").select("id", "v")
@@ -237,7 +224,7 @@ def _pairs_by_class(spark, sf_dir):
     """(coarse, a, b, sim, fa, fb) of all pairs in both directions within a class."""
     df = rows(spark, sf_dir)
     side = df.select("id", "v", F.col("coarse").alias("g"))
-    pairs = similarity.pairs_over(side, side, -2.0, CLASS_BLOCK, CLASS_ROWS)
+    pairs = similarity.pairs_over(side, side, -2.0)
     a, b = df.select(F.col("id").alias("a"), "coarse", F.col("fine").alias("fa")), df.select(F.col("id").alias("b"), F.col("fine").alias("fb"))
     return pairs.join(F.broadcast(a), "a").join(F.broadcast(b), "b")
 

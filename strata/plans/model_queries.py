@@ -39,5 +39,6 @@ def cluster_match(spark, sf_dir):
 
 @register("temperature_fit")
 def temperature_fit(spark, sf_dir):
-    # the first four components stand for the logits of the coarse classes
-    return clustering.fit_temperature(rows(spark, sf_dir).select(F.slice("v", 1, 4).alias("z"), "coarse"), "z", "coarse")
+    # eight times the first ten components stand for the logits of the fine classes
+    logits = F.transform(F.slice("v", 1, 10), lambda x: 8 * x.cast("double"))
+    return clustering.fit_temperature(rows(spark, sf_dir).select(logits.alias("z"), "fine"), "z", "fine")

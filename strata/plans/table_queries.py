@@ -18,11 +18,9 @@ def exact_duplicates(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@register("label_conflicts", """WITH T AS (SELECT d.doc_id, md5(text) AS digest, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
-SELECT doc_id FROM T WHERE digest IN (SELECT digest FROM T GROUP BY digest HAVING count(DISTINCT quality) > 1)""")
+@register("label_conflicts", "SELECT doc_id FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1)")
 def label_conflicts(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return labels.conflicting(joined, "doc_id", F.md5("text"), "quality")
+    return labels.conflicting(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", F.md5("text"), "source")
 
 
 @register("exclusion_anti_join", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -45,10 +43,9 @@ def equi_join_region(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
 
 
-@register("rank_in_region", "SELECT r_name, count(*) AS k_c, string_agg(n_name, ' ' ORDER BY n_name) AS members FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@register("rank_in_region", "SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_name DESC) AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
 def rank_in_region(spark, sf_dir):
-    joined = equi_join_region(spark, sf_dir)
-    return joined.groupBy("r_name").agg(F.count("*").alias("k_c"), F.array_join(F.array_sort(F.collect_list("n_name")), " ").alias("members"))
+    return equi_join_region(spark, sf_dir).select("r_name", "n_name", F.row_number().over(Window.partitionBy("r_name").orderBy(F.desc("n_name"))).cast("long").alias("place"))
 
 
 @register("left_closed_bins", "SELECT CASE WHEN o_totalprice >= 0 AND o_totalprice < 1000 THEN 0 WHEN o_totalprice >= 1000 AND o_totalprice < 50000 THEN 1 WHEN o_totalprice >= 50000 AND o_totalprice < 1e9 THEN 2 END AS bin, count(*) AS n FROM orders GROUP BY 1")
@@ -96,10 +93,10 @@ def prevalence_tv_kl(spark, sf_dir):
     return gap.select(F.round("tv", 6).alias("tv"), F.round("kl", 6).alias("kl"))
 
 
-@register("rare_classes", "WITH C AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) SELECT c_nationkey, n, n <= (SELECT quantile_cont(n, 0.25) FROM C) AS rare FROM C")
+@register("rare_classes", "WITH C AS (SELECT n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) SELECT n_nationkey, n, n <= (SELECT quantile_cont(n, 0.25) FROM C) AS rare FROM C")
 def rare_classes(spark, sf_dir):
-    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.percentile("n", F.lit(0.25)).alias("q")))).select("c_nationkey", "n", (F.col("n") <= F.col("q")).alias("rare"))  # one row
+    counts = labels.zero_filled_counts(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey")), table(spark, sf_dir, "nation"), "n_nationkey")
+    return counts.crossJoin(F.broadcast(counts.agg(F.percentile("n", F.lit(0.25)).alias("q")))).select("n_nationkey", "n", (F.col("n") <= F.col("q")).alias("rare"))  # one row
 
 
 _CONF = "SELECT least(round(n_chars / 4000.0, 2), 1.0) AS conf, quality = 1 AS good FROM documents d JOIN labels l ON d.doc_id = l.doc_id"

@@ -1 +1 @@
-
+"""Structured Streaming over the event table."""
