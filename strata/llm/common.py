@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arrow batches are bounded in rows and in bytes, so that a run of very long texts stays small in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _WRITTEN: list[str] = []
 
 
@@ -53,9 +56,20 @@ def drop_written(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system: workers are reused, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has the call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
+    def run(batches):
+        yield from function(batches)
+        _give_back()
+
     bound_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def crc_mod(column: str, modulus: int) -> Column:

@@ -23,7 +23,7 @@ ORDERS = (1, 2, 3)
 TRAIN_DOCS = 12_000
 SMOOTHING = 0.5
 #: Code points that are scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNDETERMINED = "und"
 _PAD = b"\0\0\0\0" * (max(ORDERS) - 1)
 

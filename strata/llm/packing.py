@@ -111,11 +111,11 @@ def plan_runs(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[
     return runs, sequences
 
 
-def _pieces(spec, end_id: int, length: int, grid: int):
+def _pieces(spec, end_id: int, length: int, grid: int, cached_words: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = tokens.encoder(spec), TaskContext.get().partitionId()
+        words, part = tokens.encoder(spec, cached_words), TaskContext.get().partitionId()
         places: dict[int, int] = {}
         for batch in batches:
             rows = []
@@ -157,17 +157,17 @@ def _placed(runs):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096, grid: int = GRID, rounds: int = ROUNDS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096, grid: int = GRID, rounds: int = ROUNDS, with_ids: bool = False, cached_words: int = tokens.CACHED_WORDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; with ``with_ids`` also ids (binary, 32-bit LE).
 
     Tokens are written once, where they are made, with each piece's place among its task's pieces of its class. A running
     count over tasks turns places into ranks, so no class, however frequent, is gathered in one task. The last window
-    sees one sequence at a time, at most ``length`` rows.
+    sees one sequence at a time, at most ``length`` rows. ``cached_words`` bounds what a worker keeps.
     """
     spark = docs.sparkSession
     spec = tokens.load_spec(spark, tokenizer_path)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = common.materialize(common.arrow_map(columns, _pieces(spec, end_id, length, grid), _PIECES), "pieces")
+    pieces = common.materialize(common.arrow_map(columns, _pieces(spec, end_id, length, grid, cached_words), _PIECES), "pieces")
     counts = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))
     capacity = length // grid
     demand = np.zeros(capacity, dtype=np.int64)

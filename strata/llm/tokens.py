@@ -33,8 +33,8 @@ from . import common
 
 #: Ids in a block; a block is closed after the document that reaches it.
 BLOCK_TOKENS = 1 << 16
-#: Words that a worker keeps with their ids; the store is emptied when full.
-CACHED_WORDS = 800_000
+#: Words that a worker keeps with their ids, in each of two generations: some 200 bytes a word.
+CACHED_WORDS = 200_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 _TAIL = ".,;:!?#%&*$\""
@@ -102,12 +102,12 @@ class WordEncoder(dict):
     than encoding whole texts as words repeat; any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, local: bool, words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
-        self.local = _word_local(json.loads(spec))
+        self.local, self.words, self.older = local, words, {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def whole(self, text: str) -> bytes:
@@ -118,14 +118,19 @@ class WordEncoder(dict):
         shown = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
         return b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(shown)])
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
+    def _encoded(self, word: str) -> bytes:
         core = word.rstrip(_TAIL)
         if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core):
-            ids = self[core] + self[word[len(core) :]] if len(core) < len(word) else self._letters_only(word)
-        else:
-            ids = self.whole(word)
+            return self[core] + self[word[len(core) :]] if len(core) < len(word) else self._letters_only(word)
+        return self.whole(word)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._encoded(word)
+        if len(self) >= self.words:  # words that were asked for since the last change of generation outlive this one
+            self.older = dict(self)
+            self.clear()
         self[word] = ids
         return ids
 
@@ -137,23 +142,25 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def encoder(spec) -> WordEncoder:
+def encoder(spec, words: int = CACHED_WORDS) -> WordEncoder:
     """The worker's encoder of a broadcast tokenizer; workers are reused, and so are their words."""
-    key = zlib.crc32(spec.value.encode())
-    if key not in _ENCODERS:
+    text, local = spec.value
+    key = zlib.crc32(text.encode())
+    if key not in _ENCODERS or _ENCODERS[key].words != words:
         _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(spec.value)
+        _ENCODERS[key] = WordEncoder(text, local, words)
     return _ENCODERS[key]
 
 
 def load_spec(spark: SparkSession, tokenizer_path: str):
-    """Broadcast a tokenizer's file: a few MB, whatever the input."""
+    """Broadcast a tokenizer's file, a few MB whatever the input, and whether it treats words alone."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        text = f.read()
+    return spark.sparkContext.broadcast((text, _word_local(json.loads(text))))
 
 
 def vocabulary_size(spec) -> int:
-    found = json.loads(spec.value)
+    found = json.loads(spec.value[0])
     return 1 + max([*found["model"]["vocab"].values(), *(x["id"] for x in found.get("added_tokens", []))])
 
 
