@@ -46,7 +46,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_path(), end_id=1)
+    # executors that have run four stages have less memory to spare, so workers keep fewer words
+    return packing.pack_documents(docs, tokenizer_path(), end_id=1, cached_words=50_000)
 
 
 STAGES = [
