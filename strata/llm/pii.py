@@ -14,11 +14,14 @@ stay. The graph holds distinct pairs only and is summed on the map side, so a wo
 no single task's work.
 
 Null texts are empty and have no spans. Repeated rows are treated each. Empty tables give empty results. Offsets count
-code points, end exclusive.
+code points, end exclusive. A text's matches cost time in proportion to its length and their number, however long it is.
+Columns other than those named take no part, whatever they are called.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +39,59 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _EDGES = ".,;:!?\"'()[]{}<>#%&*$|=_/\\"
 _SPACE = " \t\n\x0b\f\r"
+# The last and the first word of a text without outer blanks, whatever their length.
+_LAST, _FIRST = r"(?<!\S)\S++$", r"^\S++"
 _SPAN = "array<struct<start:int,kind_order:int,end:int>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match) of all matches, and what stands between them as (before, after)."""
+#: Matches that are put together before they join the rest: each step of a fold copies what it has gathered, so a text's
+#: matches cost time in proportion to their number and this, and not to their square.
+_PIECES = 256
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is referred to."""
+    return F.transform(F.array(value), use)[0]
+
+
+def folded(items: Column, kind: str, state: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column, Column | None]]) -> Column:
+    """Array of type ``kind`` of what ``step`` gives for each item, in order; ``step(state, item)`` is the new state, a value, and when to take it (None: always)."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def add(acc: Column, x: Column) -> Column:
+        after, value, wanted = step(acc, x)
+        grown = F.concat(acc["piece"], F.array(value.cast(kind)))
+        return F.struct(*[v.alias(k) for k, v in after.items()], (grown if wanted is None else F.when(wanted, grown).otherwise(acc["piece"])).alias("piece"))
+
+    def join(acc: Column, chunk: Column) -> Column:
+        own = F.aggregate(chunk, F.struct(*[acc[k].alias(k) for k in state], none.alias("piece")), add)
+        return let(own, lambda r: F.struct(*[r[k].alias(k) for k in state], F.concat(acc["full"], F.array(r["piece"])).alias("full")))
+
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _PIECES).cast("int")), lambda j: F.slice(p, j * _PIECES + 1, _PIECES))
+    begun = F.struct(*[v.alias(k) for k, v in state.items()], F.array().cast(f"array<array<{kind}>>").alias("full"))
+    return let(items, lambda p: F.when(F.size(p) > 0, F.aggregate(cut(p), begun, join, lambda acc: F.flatten(acc["full"]))).otherwise(none))
+
+
+def matches(text: Column, pattern: str, words: bool = False) -> Column:
+    """Array of (start, end, match) of all matches; with ``words`` also the words beside each: left, right."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
+    kind = "struct<start:int,end:int,match:string" + (",left:string,right:string>" if words else ">")
     # a lambda evaluates what it refers to again for each element, so it is given the pieces as elements
-    pieces = F.arrays_zip(found.alias("match"), F.slice(between, 1, F.size(found)).alias("before"), F.slice(between, 2, F.size(found)).alias("after"))
+    after = [F.slice(between, 2, F.size(found)).alias("after")] if words else []
+    pieces = F.arrays_zip(found.alias("match"), F.slice(between, 1, F.size(found)).alias("before"), *after)
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column, None]:
         start = acc["at"] + F.char_length(x["before"])
         end = start + F.char_length(x["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["before"], F.lit(60)).alias("before"), F.left(x["after"], F.lit(60)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        beside = [_word(x["before"], _LAST).alias("left"), _word(x["after"], _FIRST).alias("right")] if words else []
+        return {"at": end}, F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), *beside), None
+
+    return F.when(F.size(found) > 0, folded(pieces, kind, {"at": F.lit(0)}, step)).otherwise(F.array().cast(f"array<{kind}>"))
+
 
-    placed = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, placed).otherwise(empty)
+def _word(side: Column, pattern: str) -> Column:
+    return F.lower(F.btrim(F.regexp_extract(F.btrim(side, F.lit(_EDGES + _SPACE)), pattern, 0), F.lit(_EDGES)))
 
 
 def _digits(match: Column) -> Column:
@@ -86,7 +123,7 @@ def _between(n: Column, low: int, high: int) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Sorted array of (start, kind_order, end)."""
-    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     digits = lambda m: F.char_length(_digits(m["match"]))
     kinds = [
         F.when(F.contains(text, F.lit("@")), matches(text, _EMAIL)).otherwise(none),
@@ -105,17 +142,43 @@ def count_kind(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind_order"] == kind)).cast("long")
 
 
-def _candidates(text: Column, base: Column) -> Column:
+_CANDIDATE = "struct<start:int,end:int,value:string,left:string,right:string,known:boolean>"
+_EVENT = "struct<start:int,base:boolean,end:int,value:string,left:string,right:string,known:boolean>"
+
+
+def _trimmed(text: Column) -> Column:
+    """Array of candidates without edges: (start, base = false, end, value, left, right, known = false)."""
+
     def one(m: Column) -> Column:
         led = F.ltrim(m["match"], F.lit(_EDGES))
         start = m["start"] + F.char_length(m["match"]) - F.char_length(led)
         value = F.rtrim(led, F.lit(_EDGES))
-        end = start + F.char_length(value)
-        word = lambda side, pattern: F.lower(F.btrim(F.regexp_extract(F.btrim(side, F.lit(_EDGES + _SPACE)), pattern, 0), F.lit(_EDGES)))
-        known = F.exists(base, lambda b: (b["start"] < end) & (b["end"] > start))
-        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), word(m["before"], r"\S+$").alias("left"), word(m["after"], r"^\S+").alias("right"), known.alias("known"))
+        return F.struct(start.alias("start"), F.lit(False).alias("base"), (start + F.char_length(value)).alias("end"), value.alias("value"), m["left"].alias("left"), m["right"].alias("right"), F.lit(False).alias("known"))
+
+    return F.filter(F.transform(matches(text, _TOKEN, words=True), one), lambda c: c["value"].rlike("[^@]"))
+
+
+def _candidates(text: Column, base: Column) -> Column:
+    """Array of (start, end, value, left, right, known): the candidates, known where they overlap a base span.
+
+    Candidates and base spans are walked in order, once with the farthest end so far and once backwards with the nearest start.
+    """
+    null = F.lit(None).cast("string")
+    spans = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(True).alias("base"), b["end"].alias("end"), null.alias("value"), null.alias("left"), null.alias("right"), F.lit(False).alias("known")))
+    events = F.array_sort(F.concat(spans, _trimmed(text)).cast(f"array<{_EVENT}>"))
+    marked = lambda e, known: F.struct(*[e[c].alias(c) for c in ("start", "base", "end", "value", "left", "right")], known.alias("known"))
+
+    def forward(acc: Column, e: Column) -> tuple[dict[str, Column], Column, None]:
+        return {"reach": F.when(e["base"], F.greatest(acc["reach"], e["end"])).otherwise(acc["reach"])}, marked(e, acc["reach"] > e["start"]), None
+
+    def backward(acc: Column, e: Column) -> tuple[dict[str, Column], Column, Column]:
+        near = F.when(e["base"], F.least(acc["near"], e["start"])).otherwise(acc["near"])
+        value = F.struct(*[e[c].alias(c) for c in ("start", "end", "value", "left", "right")], (e["known"] | (acc["near"] < e["end"])).alias("known"))
+        return {"near": near}, value, ~e["base"]
 
-    return F.filter(F.transform(matches(text, _TOKEN), one), lambda c: c["value"].rlike("[^@]"))
+    # of equal starts the candidate comes first, so the way back sees the base span before it
+    ahead = folded(events, _EVENT, {"reach": F.lit(0)}, forward)
+    return F.reverse(folded(F.reverse(ahead), _CANDIDATE, {"near": F.lit(2**31 - 1)}, backward))
 
 
 def plain_neighbours(text: DataFrame) -> DataFrame:
@@ -176,12 +239,11 @@ def written(spans: Column) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; of overlapping spans the first names the whole."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+    last = F.struct(F.char_length(text).alias("start"), F.lit(None).cast("int").alias("kind_order"), F.char_length(text).alias("end"))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        between = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(apart, F.concat(acc["out"], between, names[s["kind_order"]])).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def step(acc: Column, s: Column) -> tuple[dict[str, Column], Column, Column]:
+        piece = F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.coalesce(names[s["kind_order"]], F.lit("")))
+        return {"at": F.greatest(acc["at"], s["end"])}, piece, s["start"] >= acc["at"]
 
-    masked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, masked).otherwise(text)
+    ends = F.concat(spans, F.array(last)).cast(_SPAN)
+    return F.when(F.size(spans) > 0, F.array_join(folded(ends, "string", {"at": F.lit(0)}, step), "")).otherwise(text)
