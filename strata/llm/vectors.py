@@ -7,8 +7,8 @@ all bounds left, so results are exact. Queries are taken in blocks of at most ``
 broadcast, however many queries there are. Each pass reads the file once, and a task keeps k results a query.
 
 Rows whose id or vector is null, or whose vector is empty or holds null or non-finite components, take no part, neither
-do vectors of another length than the query's. Components must be under 2**31 when scaled. A row that shares the
-query's id is its own, too. Repeated query rows are answered each. Empty tables give empty results.
+do those with a component of 2**61 or more when scaled, or vectors of another length than the query's. A score that is no
+64-bit integer is an error. A row that shares the query's id is its own, too. Repeated query rows are answered each. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -38,9 +38,27 @@ def quantise(exact: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndar
 def upper_bounds(queries: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """No inner product of a query with any vector in its cells is above these, (queries, vectors)."""
     lowest = (low + cells.astype(np.int64) * step).astype(np.float64)
+    highest = lowest + (step - 1)
     up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    bound = up @ (lowest + (step - 1)).T + down @ lowest.T
-    return bound + 1e-9 * np.abs(bound)  # floats above 2**53 are rounded
+    bound = up @ highest.T + down @ lowest.T
+    if _greatest(queries, max(np.abs(highest).max(initial=0), np.abs(lowest).max(initial=0))) >= 2**52:  # sums of doubles are rounded
+        bound += 1e-12 * (up @ np.abs(highest).T - down @ np.abs(lowest).T)
+    return bound
+
+
+def _greatest(vectors: np.ndarray, other: float) -> float:
+    """No inner product of these vectors with one whose components are at most ``other`` is above this."""
+    return float(np.abs(vectors.astype(np.float64)).sum(axis=-1).max(initial=0)) * float(other)
+
+
+def products(exact: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Exact inner products; an error where one is no 64-bit integer, instead of a wrong score."""
+    if _greatest(vector[None, :], np.abs(exact.astype(np.float64)).max(initial=0)) < 2**62:
+        return exact @ vector
+    found = exact.astype(object) @ vector.astype(object)
+    if any(not -(2**63) <= x < 2**63 for x in found):
+        raise OverflowError("an inner product is no 64-bit integer")
+    return found.astype(np.int64)
 
 
 def _nibbles(cells: np.ndarray) -> bytes:
@@ -67,14 +85,14 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = at[k : k + FILE_BLOCK]
                 exact = flat[(ends[own] - size)[:, None] + np.arange(size)]
                 low, step, cells = quantise(exact)
-                row = {"size": int(size), "ids": ids[own].astype("<i8").tobytes(), "low": low.astype("<i8").tobytes(), "step": step.astype("<i8").tobytes(), "cells": _nibbles(cells), "exact": exact.astype("<i4").tobytes()}
+                row = {"size": int(size), "ids": ids[own].astype("<i8").tobytes(), "low": low.astype("<i8").tobytes(), "step": step.astype("<i8").tobytes(), "cells": _nibbles(cells), "exact": exact.astype("<i8").tobytes()}
                 yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("size", pa.int32()), *((c, pa.binary()) for c in ("ids", "low", "step", "cells", "exact"))]))
 
 
 def integers(df: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
     """(id, v) of the rows that take part."""
     x = F.col(f"`{vector}`")
-    fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * float(scale)) < float(2**61)))
     rows = df.where(F.col(f"`{id_column}`").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(fine, F.lit(False)))
     return rows.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e.cast("double")).cast("long")).alias("v"))
 
@@ -103,7 +121,7 @@ def _searched(queries, k: int):
             for row in batch.to_pylist():
                 size, ids = row["size"], np.frombuffer(row["ids"], "<i8")
                 at = np.flatnonzero(lengths == size)
-                exact = np.frombuffer(row["exact"], "<i4").reshape(len(ids), size)
+                exact = np.frombuffer(row["exact"], "<i8").reshape(len(ids), size)
                 if not len(at):
                     continue
                 wanted = np.stack([vectors[i] for i in at])
@@ -114,7 +132,7 @@ def _searched(queries, k: int):
                     left = left[np.argsort(-bound[left], kind="stable")]
                     while len(left):  # in the order of the bounds; stops once the k-th score is certain
                         some, left = left[: 4 * k], left[4 * k :]
-                        best.offer(query, exact[some].astype(np.int64) @ vector, ids[some])
+                        best.offer(query, products(exact[some], vector), ids[some])
                         left = left[bound[left] >= best.least[query]]
         n = [len(x) for x in best.ids]
         columns = [np.repeat(np.arange(len(n)), n), np.repeat(own_ids, n), *(np.concatenate([*x, np.zeros(0, np.int64)]) for x in (best.ids, best.scores))]
@@ -128,13 +146,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id"
     spark = df.sparkSession
     rows = integers(df, id_column, vector, scale)
     found = common.materialize(common.arrow_map(rows, _filed, _FILE), "cells")
-    asked = integers(df.where(is_query), id_column, vector, scale)
+    asked = common.materialize(integers(df.where(is_query), id_column, vector, scale), "queries")
     blocks = max(1, -(-asked.count() // query_block))
-    results = None
-    for block in range(blocks):
+    order = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
+    path = common.new_path(spark, "top")
+    for block in range(blocks):  # a block's queries are gone from driver and executors before the next come
         own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas().sort_values("id")
         queries = spark.sparkContext.broadcast((own["id"].to_numpy(np.int64), [np.asarray(v, np.int64) for v in own["v"]]))
-        part = found.mapInArrow(_searched(queries, k), "place long, query_id long, vec_id long, score long").withColumn("block", F.lit(block))
-        results = part if results is None else results.unionByName(part)
-    order = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
-    return results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        part = common.arrow_map(found, _searched(queries, k), "place long, query_id long, vec_id long, score long")
+        best = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best.write.mode("append").parquet(path)
+        queries.destroy()
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
