@@ -360,16 +360,16 @@ def _removed(length: int, with_text: bool):
                     parts.append(text[place:low])
                     place = high
                 kept = b"".join([*parts, text[place:]])
-                out.append((doc_id, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_text)
+                out.append((doc_id, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), len(kept), len(kept) < len(text), *[kept] * with_text))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), *[pa.binary()] * with_text)
             columns = zip(*out, strict=True) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "repeated", *["kept"] * with_text])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, with_text: bool = False, split: int = SPLIT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row, and with ``with_text`` the bytes left, as kept."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes left) and repeated (some went) for each row, and with ``with_text`` the bytes left, as kept."""
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     kinds = "kmer long, r1 long, r2 long, key long, at long, d_low int, d_high int"
     met = common.materialize(common.arrow_map(data.select("key", "text"), _found(length, k), kinds), "anchors")
@@ -388,5 +388,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, with_te
     repeated = common.materialize(whole.unionByName(ranges).unionByName(dealt), "ranges")
     spans = met.select("key", "at", "r1", "r2").join(repeated, ["r1", "r2"]).select("key", F.struct((F.col("at") - F.col("high")).alias("low"), (F.col("at") - F.col("low") + length).alias("high")).alias("span"))
     spans = spans.groupBy("key").agg(F.collect_set("span").alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, repeated boolean" + ", kept binary" * with_text
     return common.arrow_map(data.join(spans, "key", "left").select("doc_id", "text", "spans"), _removed(length, with_text), schema)
