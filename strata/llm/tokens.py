@@ -34,7 +34,7 @@ from . import common
 #: Ids in a block; a block is closed after the document that reaches it.
 BLOCK_TOKENS = 1 << 16
 #: Words that a worker keeps with their ids, in each of two generations: some 200 bytes a word.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 _TAIL = ".,;:!?#%&*$\""
