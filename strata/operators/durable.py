@@ -13,7 +13,7 @@ def settled(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
-            if not spark.sparkContext.master.startswith("local["):
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             found = f"file://{tempfile.mkdtemp(prefix='strata-')}"
         spark.sparkContext.setCheckpointDir(found)
