@@ -130,10 +130,10 @@ def episode_exemplars(spark, sf_dir):
     return episodes.nearest_means(*_sides(spark, sf_dir)).select("g", *[F.round(c, 6).alias(c) for c in ("sim_s", "sim_t", "sim_t_to_s")], F.round("ratio_s", 5).alias("ratio_s"))
 
 
-@register("episode_beyond_support", f"""{_SIDES} SELECT g.g, round(a.kid, 5) AS kid_t, round(b.coverage, 5) AS coverage_t, round(c.kid, 5) AS kid_s, round(d.coverage, 5) AS coverage_s FROM (SELECT DISTINCT g FROM MG) g LEFT JOIN {_kid_sql('MG', 'TG')} a ON a.g = g.g
+@register("episode_beyond_support", f"""{_SIDES} SELECT g.g, round(a.kid, 5) + 0.0 AS kid_t, round(b.coverage, 5) AS coverage_t, round(c.kid, 5) + 0.0 AS kid_s, round(d.coverage, 5) AS coverage_s FROM (SELECT DISTINCT g FROM MG) g LEFT JOIN {_kid_sql('MG', 'TG')} a ON a.g = g.g
  LEFT JOIN {_coverage_sql('TG', 'MG', 3)} b ON b.g = g.g LEFT JOIN {_kid_sql('MG', 'SG')} c ON c.g = g.g LEFT JOIN {_coverage_sql('SG', 'MG', 3)} d ON d.g = g.g""")
 def episode_beyond_support(spark, sf_dir):
-    return episodes.beyond_support(*_sides(spark, sf_dir)).select("g", *[F.round(c, 5).alias(c) for c in ("kid_t", "coverage_t", "kid_s", "coverage_s")])
+    return episodes.beyond_support(*_sides(spark, sf_dir)).select("g", *[(F.round(c, 5) + 0.0).alias(c) for c in ("kid_t", "coverage_t", "kid_s", "coverage_s")])
 
 
 def _diversity(spark, sf_dir):

@@ -30,7 +30,7 @@ def classes_of(spark, sf_dir):
 
 
 def _six(*names: str):
-    return [F.round(n, 6).alias(n) for n in names]
+    return [(F.round(n, 6) + 0.0).alias(n) for n in names]  # no minus zero
 
 
 def _side(df, rest: int):
@@ -103,21 +103,21 @@ def _fidelity(spark, sf_dir):
     return table.join(F.broadcast(classes.select(F.col("fine").alias("g"), "coarse")), "g").join(F.broadcast(rare), "g")
 
 
-@register("class_fidelity", f"{_FIDELITY} SELECT coarse, g AS fine, rare, n, covered, round(kid, 5) AS kid, round(coverage, 5) AS coverage, round(kid_ceiling, 5) AS kid_ceiling, round(coverage_ceiling, 5) AS coverage_ceiling FROM F")
+@register("class_fidelity", f"{_FIDELITY} SELECT coarse, g AS fine, rare, n, covered, round(kid, 5) + 0.0 AS kid, round(coverage, 5) AS coverage, round(kid_ceiling, 5) + 0.0 AS kid_ceiling, round(coverage_ceiling, 5) AS coverage_ceiling FROM F")
 def class_fidelity(spark, sf_dir):
-    return _fidelity(spark, sf_dir).select("coarse", F.col("g").alias("fine"), "rare", "n", "covered", *[F.round(c, 5).alias(c) for c in ("kid", "coverage", "kid_ceiling", "coverage_ceiling")])
+    return _fidelity(spark, sf_dir).select("coarse", F.col("g").alias("fine"), "rare", "n", "covered", *[(F.round(c, 5) + 0.0).alias(c) for c in ("kid", "coverage", "kid_ceiling", "coverage_ceiling")])
 
 
 @register("class_fidelity_summary", f"""{_FIDELITY} SELECT coarse, round(avg(CASE WHEN covered THEN 1.0 ELSE 0.0 END), 5) AS frac_covered, round(avg(CASE WHEN rare THEN covered::INT::DOUBLE END), 5) AS frac_rare_covered,
- round(avg(CASE WHEN NOT rare THEN covered::INT::DOUBLE END), 5) AS frac_common_covered, round(avg(kid), 5) AS kid, round(avg(kid) - avg(kid_ceiling), 5) AS kid_excess, round(avg(coverage), 5) AS coverage FROM F GROUP BY coarse""")
+ round(avg(CASE WHEN NOT rare THEN covered::INT::DOUBLE END), 5) AS frac_common_covered, round(avg(kid), 5) + 0.0 AS kid, round(avg(kid) - avg(kid_ceiling), 5) + 0.0 AS kid_excess, round(avg(coverage), 5) AS coverage FROM F GROUP BY coarse""")
 def class_fidelity_summary(spark, sf_dir):
     found = synthesis.fidelity_summary(_fidelity(spark, sf_dir), ["coarse"])
     names = ("frac_covered", "frac_rare_covered", "frac_common_covered", "kid", "kid_excess", "coverage")
-    return found.select("coarse", *[F.round(c, 5).alias(c) for c in names])
+    return found.select("coarse", *[(F.round(c, 5) + 0.0).alias(c) for c in names])  # no minus zero
 
 
 @register("kid_subsets", f"""{_Q}, S AS (SELECT id, v, b AS g, side FROM (SELECT id, v, 0 AS side FROM G UNION ALL SELECT id, v, 1 FROM T), range(4) t(b) QUALIFY row_number() OVER (PARTITION BY b, side ORDER BY md5('3:' || b || ':' || id), id) <= 60),
-X AS (SELECT * FROM S WHERE side = 0), Y AS (SELECT * FROM S WHERE side = 1) SELECT round(avg(kid), 6) AS kid FROM {_kid_sql('X', 'Y')}""")
+X AS (SELECT * FROM S WHERE side = 0), Y AS (SELECT * FROM S WHERE side = 1) SELECT round(avg(kid), 6) + 0.0 AS kid FROM {_kid_sql('X', 'Y')}""")
 def kid_subsets(spark, sf_dir):
     df = rows(spark, sf_dir).select("id", "v")
     return synthesis.kid_subsets(_side(df, 0), _side(df, 1), 4, 60, 3).select(*_six("kid"))
@@ -133,7 +133,7 @@ XX AS (SELECT x.g, avg({_KID}) AS m FROM X x JOIN X y ON x.g = y.g AND x.id <> y
 XY AS (SELECT x.req, x.g, y.g AS fine, avg({_KID}) AS m FROM X x JOIN Y y ON x.req = y.coarse GROUP BY ALL)"""
 
 
-@register("group_match_costs", f"{_COST} SELECT req AS g, XY.g AS grp, fine, round(XX.m + YY.m - 2 * XY.m, 6) AS kid FROM XY JOIN XX ON XX.g = XY.g JOIN YY ON YY.g = XY.fine")
+@register("group_match_costs", f"{_COST} SELECT req AS g, XY.g AS grp, fine, round(XX.m + YY.m - 2 * XY.m, 6) + 0.0 AS kid FROM XY JOIN XX ON XX.g = XY.g JOIN YY ON YY.g = XY.fine")
 def group_match_costs(spark, sf_dir):
     return _costs(spark, sf_dir).select("g", "grp", "fine", *_six("kid"))
 
