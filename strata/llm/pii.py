@@ -239,11 +239,10 @@ def written(spans: Column) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; of overlapping spans the first names the whole."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    last = F.struct(F.char_length(text).alias("start"), F.lit(None).cast("int").alias("kind_order"), F.char_length(text).alias("end"))
 
     def step(acc: Column, s: Column) -> tuple[dict[str, Column], Column, Column]:
-        piece = F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.coalesce(names[s["kind_order"]], F.lit("")))
+        piece = F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), names[s["kind_order"]])
         return {"at": F.greatest(acc["at"], s["end"])}, piece, s["start"] >= acc["at"]
 
-    ends = F.concat(spans, F.array(last)).cast(_SPAN)
-    return F.when(F.size(spans) > 0, F.array_join(folded(ends, "string", {"at": F.lit(0)}, step), "")).otherwise(text)
+    rest = F.substr(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1)
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(folded(spans, "string", {"at": F.lit(0)}, step), ""), rest)).otherwise(text)

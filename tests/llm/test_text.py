@@ -58,9 +58,9 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
 
 
 def test_redact(spark):
-    df = spark.createDataFrame([("mail a@b.cd now, 1.2.3.4", 1), ("none", 2), (None, 3)], "text string, doc_id long")
+    df = spark.createDataFrame([("mail a@b.cd now, 1.2.3.4", 1), ("none", 2), (None, 3), ("é a@b.cd, and on", 4), ("a@b.cd", 5)], "text string, doc_id long")
     out = pii.find(df, ["text", "doc_id"]).select("src.doc_id", pii.redact(F.col("src.text"), F.col("spans")).alias("t")).orderBy("doc_id").collect()
-    assert [r["t"] for r in out] == ["mail <email> now, <ip>", "none", None]
+    assert [r["t"] for r in out] == ["mail <email> now, <ip>", "none", None, "é <email>, and on", "<email>"]
 
 
 def test_leaks(spark):
