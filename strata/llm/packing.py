@@ -1,10 +1,12 @@
 """Best-fit packing of tokenized documents into sequences of bounded length.
 
-A configuration says how many pieces of each length class one sequence holds. The fractional covering program over all
-configurations is solved by multiplicative weights: each round prices the classes by their weights, a knapsack dynamic
-program finds the best configuration at these prices, and classes that it covers lose weight. The solution is rounded
-down; what is left is packed by best-fit decreasing on the histogram. The driver holds only the histogram (one row a
-class) and the runs of the plan, whose sizes depend on the sequence length and not on the input.
+A configuration says how many pieces of each length class one sequence holds. The covering program over all
+configurations is solved by multiplicative weights: the classes are dealt anew each round into groups (partial pricing),
+priced by their size times a weight that is greater the more of a class is still uncovered, and a bounded knapsack
+dynamic program finds a group's best configurations at these prices, one around each of its largest classes. A full one takes its
+share of the sequences, rounded down to whole copies that its classes still have. What this leaves, with the smallest
+classes, which fill the last gaps, is packed by best-fit decreasing on the histogram. The driver holds only the histogram
+(one row a class) and the runs of the plan, whose sizes depend on the sequence length and not on the input.
 
 Null texts are empty; every document has at least its end id, so none is lost. Repeated rows are packed each. Other
 columns are ignored.
@@ -26,51 +28,82 @@ from . import common, tokens
 
 #: Lengths are rounded up to multiples of this in the program; offsets are always those of the true lengths.
 GRID = 1
-#: Rounds of multiplicative weights, and how fast weights move.
-ROUNDS, RATE = 64, 0.1
+#: Rounds of multiplicative weights, how far weights part (a full configuration has nearly equal prices a token), and groups a round.
+ROUNDS, RATE, GROUPS = 64, 0.3, 16
+#: Classes under this part of a sequence are left to best fit, and a group has at least so many classes.
+FINE, LEAST_GROUP = 64, 64
+#: One in so many classes of a group, the largest, leads a configuration a round.
+LEADERS = 4
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, class int, part int, place long, ids binary"
 
 
+class Knapsack:
+    """Best fillings of every room up to ``capacity`` with at most ``bounds[i]`` pieces of ``sizes[i]``, each worth ``values[i]``; by dynamic programming over lots of 1, 2, 4, ... pieces."""
+
+    def __init__(self, sizes: np.ndarray, values: np.ndarray, bounds: np.ndarray, capacity: int) -> None:
+        self.lots: list[tuple[int, int]] = []  # size, pieces
+        best, worth = np.zeros(capacity + 1), []
+        for size, value, bound in zip(sizes.tolist(), values.tolist(), bounds.tolist(), strict=True):
+            bound, lot = min(bound, capacity // size), 1
+            while bound > 0:
+                pieces = min(lot, bound)
+                self.lots.append((size, pieces))
+                worth.append(value * pieces)
+                bound, lot = bound - pieces, 2 * lot
+        self.taken = np.zeros((len(self.lots), capacity + 1), dtype=bool)
+        for i, (size, pieces) in enumerate(self.lots):
+            room = size * pieces
+            with_lot = best[:-room] + worth[i]
+            np.greater(with_lot, best[room:], out=self.taken[i, room:])
+            best[room:] = np.maximum(best[room:], with_lot)
+
+    def filling(self, room: int) -> dict[int, int]:
+        """Pieces by size of the best filling of ``room``."""
+        found: dict[int, int] = {}
+        end = len(self.lots)
+        while room > 0:
+            taken = np.flatnonzero(self.taken[:end, room])
+            if not len(taken):
+                break
+            end = int(taken[-1])
+            size, pieces = self.lots[end]
+            found[size] = found.get(size, 0) + pieces
+            room -= size * pieces
+        return found
+
+
 def knapsack(values: np.ndarray, capacity: int) -> np.ndarray:
-    """How many pieces of each class (of size 1, 2, ...) fill ``capacity`` with the greatest value. Unbounded, by dynamic programming over the capacity."""
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=int)
-    n = len(values)
-    for room in range(1, capacity + 1):
-        k = min(room, n)
-        totals = best[room - k : room][::-1] + values[:k]
-        at = int(totals.argmax())
-        if totals[at] > best[room - 1]:
-            best[room], pick[room] = totals[at], at + 1
-        else:
-            best[room] = best[room - 1]
-    counts, room = np.zeros(n, dtype=int), capacity
-    while room > 0:
-        if pick[room]:
-            counts[pick[room] - 1] += 1
-            room -= pick[room]
-        else:
-            room -= 1
+    """How many pieces of each class (of size 1, 2, ...) fill ``capacity`` with the greatest value, without other bounds."""
+    sizes, counts = np.arange(1, len(values) + 1), np.zeros(len(values), dtype=int)
+    for size, pieces in Knapsack(sizes, values, np.full(len(values), capacity), capacity).filling(capacity).items():
+        counts[size - 1] = pieces
     return counts
 
 
-def configurations(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple[int, ...], float]:
-    """Configurations with their fractional multiplicities, by multiplicative weights. ``demand[i]`` counts pieces of class i + 1."""
-    here = np.flatnonzero(demand)
-    if not len(here):
-        return {}
-    sequences = max(1.0, float((demand * np.arange(1, len(demand) + 1)).sum()) / capacity)
-    found: dict[tuple[int, ...], float] = {}
-    sizes, due, lag = np.arange(1, len(demand) + 1), demand / sequences, np.zeros(len(demand))
+def configurations(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> Iterator[tuple[dict[int, int], int]]:
+    """Full configurations (pieces by size) with their whole copies, none of which takes more than ``demand`` has. ``demand[i]`` counts pieces of size i + 1."""
+    sizes, left = np.arange(1, len(demand) + 1), demand.astype(np.int64)
+    total, used, deal = float((left * sizes).sum()) / capacity, 0, np.random.default_rng(0)
+    quota = max(1, -(-int(total) // (rounds * GROUPS * 8)))  # a column's share, with some eight used a group
     for _ in range(rounds):
-        # lag: pieces each sequence so far should have held of a class, less those it did; a class that lags gains weight
-        lag += due
-        weight = np.exp(np.clip(rate * (lag - lag[here].max()), -50, 0))
-        chosen = knapsack(np.where(demand > 0, sizes * weight, 0), capacity)
-        lag -= chosen
-        key = tuple(chosen.tolist())
-        found[key] = found.get(key, 0) + sequences / rounds
-    return found
+        here = np.flatnonzero((left > 0) & (sizes >= capacity // FINE))
+        if not len(here):
+            return
+        lag = used / total - 1 + left / np.maximum(demand, 1)  # share of the sequences made, less the class's share that they hold
+        price = sizes * np.exp(rate * lag)
+        for group in np.array_split(deal.permutation(here), max(1, min(GROUPS, len(here) // LEAST_GROUP))):
+            group = -np.sort(-group)
+            best = Knapsack(sizes[group], price[group], left[group], capacity)
+            for c in group[: -(-len(group) // LEADERS)].tolist():
+                chosen = best.filling(capacity - c - 1)
+                chosen[c + 1] = chosen.get(c + 1, 0) + 1
+                copies = min(quota, *(int(left[size - 1]) // pieces for size, pieces in chosen.items()))
+                if copies > 0 and sum(size * pieces for size, pieces in chosen.items()) == capacity:
+                    for size, pieces in chosen.items():
+                        left[size - 1] -= pieces * copies
+                    used += copies
+                    yield chosen, copies
 
 
 def plan_runs(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -78,36 +111,29 @@ def plan_runs(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[
     left, taken = demand.astype(int).copy(), np.zeros(len(demand), dtype=int)
     runs, sequences = [], 0
 
-    def use(chosen: np.ndarray, copies: int) -> None:
+    def use(chosen: dict[int, int], copies: int) -> None:
         nonlocal sequences
         slot = 0
-        for c in np.flatnonzero(chosen)[::-1]:
-            for _ in range(chosen[c]):
-                runs.append((int(c) + 1, int(taken[c]), copies, sequences, slot))
-                taken[c] += copies
+        for size in sorted(chosen, reverse=True):
+            for _ in range(chosen[size]):
+                runs.append((size, int(taken[size - 1]), copies, sequences, slot))
+                taken[size - 1] += copies
                 slot += 1
-        left[:] -= chosen * copies
+            left[size - 1] -= chosen[size] * copies
         sequences += copies
 
-    sizes = np.arange(1, len(demand) + 1)
-    for key, times in sorted(configurations(demand, capacity, rounds).items(), key=lambda x: (-x[1], x[0])):
-        chosen = np.array(key)
-        held = chosen > 0
-        copies = min(int(times), int((left[held] // chosen[held]).min())) if held.any() else 0
-        if copies > 0 and (chosen * sizes).sum() >= 0.995 * capacity:
-            use(chosen, copies)
+    for chosen, copies in configurations(demand, capacity, rounds):
+        use(chosen, copies)
     while left.any():  # best fit, largest first; a configuration is used until one of its classes runs out
-        chosen, room = np.zeros(len(demand), dtype=int), capacity
+        chosen, room = {}, capacity
         while room > 0:
-            fits = np.flatnonzero((left - chosen)[:room] > 0)
+            fits = np.flatnonzero(left[: min([room, *(size - 1 for size in chosen)])])
             if not len(fits):
                 break
             c = int(fits[-1])
-            n = min(int(left[c] - chosen[c]), room // (c + 1))
-            chosen[c] += n
-            room -= n * (c + 1)
-        held = chosen > 0
-        use(chosen, int((left[held] // chosen[held]).min()))
+            chosen[c + 1] = min(int(left[c]), room // (c + 1))
+            room -= chosen[c + 1] * (c + 1)
+        use(chosen, min(int(left[size - 1]) // pieces for size, pieces in chosen.items()))
     return runs, sequences
 
 

@@ -1,5 +1,6 @@
 import json
 import bisect
+import itertools
 import zlib
 
 import numpy as np
@@ -61,6 +62,32 @@ def test_knapsack_is_optimal():
     assert (chosen * np.arange(1, 6)).sum() <= 11 and (chosen * values).sum() == pytest.approx(19.5)  # sizes 3, 3, 5
 
 
+def test_bounded_knapsack_is_optimal():
+    rng = np.random.default_rng(3)
+    sizes, bounds = np.array([2, 3, 5, 7]), np.array([3, 1, 2, 1])
+    for _ in range(20):
+        values = rng.integers(1, 20, 4)
+        best = packing.Knapsack(sizes, values, bounds, 20)
+        for room in range(21):
+            every = [p for p in itertools.product(*(range(b + 1) for b in bounds)) if np.dot(p, sizes) <= room]
+            found = best.filling(room)
+            pieces = np.array([found.get(s, 0) for s in sizes.tolist()])
+            assert (pieces <= bounds).all() and pieces @ sizes <= room and pieces @ values == max(np.dot(p, values) for p in every)
+
+
+def test_configurations_are_full_and_pack_most():
+    demand = np.random.default_rng(4).geometric(0.01, 60_000)
+    demand = np.bincount(demand[demand <= 512], minlength=513)[1:]
+    covered, sequences = np.zeros(512, int), 0
+    for chosen, copies in packing.configurations(demand, 512):
+        assert copies > 0 and sum(size * pieces for size, pieces in chosen.items()) == 512
+        for size, pieces in chosen.items():
+            covered[size - 1] += pieces * copies
+        sequences += copies
+    _, n = packing.plan_runs(demand, 512)
+    assert (covered <= demand).all() and n == -(-(demand * np.arange(1, 513)).sum() // 512) and sequences > 0.5 * n
+
+
 def test_plan_is_whole_and_tight():
     demand = np.random.default_rng(0).integers(0, 60, 128)
     demand[127] = 500
