@@ -230,9 +230,9 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select("src", "base", "row").join(added, "row", "left").select("src", "base", spans.alias("spans"))
 
 
-def written(spans: Column) -> Column:
+def written(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """kind:start:end of each span, comma-joined, in order."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in kinds])
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", names[s["kind_order"]], s["start"].cast("string"), s["end"].cast("string"))))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, lmscore, neardup, packing, pii, suffixes, tokens, urls, vectors
+from . import common, decontaminate, langid, lmscore, merkle, neardup, packing, pii, quarantine, secrets, suffixes, tokens, urls, vectors
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(docs.select("doc_id", "text", held_out.alias("held_out")), ~held_out, ["doc_id", "held_out"])
 
 
+def op11_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantine.replay(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_docs(spark, sf_dir))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(_docs(spark, sf_dir), ["doc_id"])
+    counts = [pii.count_kind(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:3])]
+    base, spans = pii.written(F.col("base"), secrets.KINDS), pii.written(F.col("spans"), secrets.KINDS)
+    return found.select(F.col("src.doc_id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
@@ -93,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_k": op8_top_k,
         "op9_packing": op9_packing,
         "op10_lm_score": op10_lm_score,
+        "op11_quarantine": op11_quarantine,
+        "op12_merkle": op12_merkle,
+        "op13_secrets": op13_secrets,
     }
 
 
