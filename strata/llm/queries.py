@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, lmscore, merkle, neardup, packing, pii, quarantine, secrets, suffixes, tokens, urls, vectors
+from . import common, decontaminate, langid, lmscore, manifest_sql, merkle, neardup, packing, pii, quarantine, secrets, suffixes, tokens, urls, vectors
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(manifest_sql.SQL)
