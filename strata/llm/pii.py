@@ -4,9 +4,9 @@ Base kinds, leftmost non-overlapping matches of each: email, ip (parts at most 2
 Luhn), phone (9 to 15 digits). Failing matches are dropped and not retried.
 
 Bootstrapping: candidates are the white-space tokens that hold a digit or an @, without surrounding punctuation. Those
-that overlap a base span are seeds. A pattern is a neighbouring word (left or right), whatever the token looks like. Its
-negatives are the plain tokens, without digit and @, that stand in the same place: candidates not known yet say nothing
-against it. The graph of patterns and instances is scored in rounds: a pattern is trusted if at least ``SUPPORT``
+that overlap a base span are seeds. A pattern is the nearest token (left or right) with more than punctuation, which may be a candidate itself; its
+punctuation towards the candidate, such as a colon, stays. Its negatives are the plain tokens, without digit and @, that
+stand in the same place: candidates not known yet say nothing against it. The graph of patterns and instances is scored in rounds: a pattern is trusted if at least ``SUPPORT``
 distinct known instances follow it and their occurrences are at least ``TRUST`` of theirs and the negatives' together;
 an unseen instance becomes known if trusted patterns hold it, with 1 - product(1 - precision) of at least ``ACCEPT``.
 Rounds end when one accepts nothing new. Known unseen instances are added as spans of kind ``id``; base spans always
@@ -72,19 +72,24 @@ def folded(items: Column, kind: str, state: dict[str, Column], step: Callable[[C
     return let(items, lambda p: F.when(F.size(p) > 0, F.aggregate(cut(p), begun, join, lambda acc: F.flatten(acc["full"]))).otherwise(none))
 
 
-def matches(text: Column, pattern: str, words: bool = False) -> Column:
-    """Array of (start, end, match) of all matches; with ``words`` also the words beside each: left, right."""
+def matches(text: Column, pattern: str, words: bool = False, cues: bool = False) -> Column:
+    """Array of (start, end, match) of all matches; with ``words`` also the words beside each, left and right; with ``cues`` these are tokens, which may be matches themselves, with their punctuation towards the match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
+    words = words or cues
     kind = "struct<start:int,end:int,match:string" + (",left:string,right:string>" if words else ">")
     # a lambda evaluates what it refers to again for each element, so it is given the pieces as elements
     after = [F.slice(between, 2, F.size(found)).alias("after")] if words else []
+    if cues:
+        none = F.array(F.lit(""))
+        after += [F.concat(none, F.slice(found, 1, F.size(found) - 1)).alias("previous"), F.concat(F.slice(found, 2, F.size(found)), none).alias("next")]
     pieces = F.arrays_zip(found.alias("match"), F.slice(between, 1, F.size(found)).alias("before"), *after)
 
     def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column, None]:
         start = acc["at"] + F.char_length(x["before"])
         end = start + F.char_length(x["match"])
-        beside = [_word(x["before"], _LAST).alias("left"), _word(x["after"], _FIRST).alias("right")] if words else []
+        left, right = (_cue(x["before"], x["previous"], True), _cue(x["after"], x["next"], False)) if cues else (_word(x["before"], _LAST), _word(x["after"], _FIRST)) if words else (None, None)
+        beside = [left.alias("left"), right.alias("right")] if words else []
         return {"at": end}, F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), *beside), None
 
     return F.when(F.size(found) > 0, folded(pieces, kind, {"at": F.lit(0)}, step)).otherwise(F.array().cast(f"array<{kind}>"))
@@ -94,6 +99,21 @@ def _word(side: Column, pattern: str) -> Column:
     return F.lower(F.btrim(F.regexp_extract(F.btrim(side, F.lit(_EDGES + _SPACE)), pattern, 0), F.lit(_EDGES)))
 
 
+def _cue(side: Column, other: Column, before: bool) -> Column:
+    """The nearest token with more than edges: in ``side`` if that has one, else ``other``. Its punctuation towards the match stays."""
+    outer = F.lit(_EDGES + _SPACE)
+
+    def token(bare: Column) -> Column:
+        if before:
+            held = F.concat(F.regexp_extract(bare, _LAST, 0), F.regexp_extract(F.substr(side, F.char_length(bare) + 1), r"^\S*+", 0))
+        else:
+            held = F.concat(F.regexp_extract(F.left(side, F.char_length(side) - F.char_length(bare)), r"(?<!\S)\S*+$", 0), F.regexp_extract(bare, _FIRST, 0))
+        found = F.lower(F.when(bare != "", held).otherwise(other))
+        return F.ltrim(found, F.lit(_EDGES)) if before else F.rtrim(found, F.lit(_EDGES))
+
+    return let(F.rtrim(side, outer) if before else F.ltrim(side, outer), token)
+
+
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -155,7 +175,7 @@ def _trimmed(text: Column) -> Column:
         value = F.rtrim(led, F.lit(_EDGES))
         return F.struct(start.alias("start"), F.lit(False).alias("base"), (start + F.char_length(value)).alias("end"), value.alias("value"), m["left"].alias("left"), m["right"].alias("right"), F.lit(False).alias("known"))
 
-    return F.filter(F.transform(matches(text, _TOKEN, words=True), one), lambda c: c["value"].rlike("[^@]"))
+    return F.filter(F.transform(matches(text, _TOKEN, cues=True), one), lambda c: c["value"].rlike("[^@]"))
 
 
 def _candidates(text: Column, base: Column) -> Column:
@@ -182,15 +202,15 @@ def _candidates(text: Column, base: Column) -> Column:
 
 
 def plain_neighbours(text: DataFrame) -> DataFrame:
-    """From (text): (pattern, negatives), how many plain tokens stand next to each plain word, on each side."""
-    words = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(_EDGES))), lambda w: w != "")
-    held = text.select(words.alias("w"))
-    none = F.array(F.lit("0"))  # before the first and after the last word
+    """From (text): (pattern, negatives), how many plain tokens stand next to each token, on each side."""
+    held = text.select(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(_EDGES)) != "").alias("w"))
+    none = F.array(F.lit("0"))  # before the first and after the last token
     placed = held.select(F.explode(F.arrays_zip(F.col("w").alias("w"), F.concat(none, "w").alias("before"), F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), none).alias("after"))).alias("p")).select("p.*")
     plain = lambda c: ~F.col(c).rlike("[0-9@]")
-    counted = placed.where(plain("w")).groupBy("w").agg(F.count_if(plain("after")).alias("l"), F.count_if(plain("before")).alias("r"))
-    sides = F.array(*[F.struct(F.concat_ws("\t", F.lit(side), "w").alias("pattern"), F.col(side).alias("negatives")) for side in "lr"])
-    return counted.select(F.explode(sides).alias("s")).select("s.*").where("negatives > 0")
+    counted = placed.groupBy("w").agg(F.count_if(plain("after")).alias("l"), F.count_if(plain("before")).alias("r"))
+    trimmed = {"l": F.ltrim("w", F.lit(_EDGES)), "r": F.rtrim("w", F.lit(_EDGES))}
+    sides = F.array(*[F.struct(F.concat_ws("\t", F.lit(side), word).alias("pattern"), F.col(side).alias("negatives")) for side, word in trimmed.items()])
+    return counted.select(F.explode(sides).alias("s")).select("s.*").where("negatives > 0").groupBy("pattern").agg(F.sum("negatives").alias("negatives"))
 
 
 def discovered(candidates: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -59,6 +60,60 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert seeds >= pii.SUPPORT and (out[99] == "id:11:27") == (seeds >= pii.TRUST * (10)) and out[100] == ""
 
 
+def accepted_plainly(texts):
+    """(all spans of kind id by row, accepted values): contexts and rounds over Python dictionaries."""
+    known, seen, negatives, placed = Counter(), {}, Counter(), []
+    for i, text in texts.items():
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute(text).split(",") if s]
+        tokens = [(m.start(), m[0]) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text or "") if m[0].strip(pii._EDGES)]
+        for at, (start, token) in enumerate(tokens):
+            near = tokens[at - 1][1].lower() if at else "", tokens[at + 1][1].lower() if at + 1 < len(tokens) else ""
+            patterns = [k for k in (("l", near[0].lstrip(pii._EDGES)), ("r", near[1].rstrip(pii._EDGES))) if k[1]]
+            if not re.search("[0-9@]", token):
+                negatives.update(patterns)
+                continue
+            start += len(token) - len(token.lstrip(pii._EDGES))
+            value = token.strip(pii._EDGES)
+            if re.search("[^@]", value):
+                hit = any(a < start + len(value) and b > start for a, b in base)
+                known[value] |= hit
+                placed.append((i, start, start + len(value), value, hit))
+                for k in patterns:
+                    seen.setdefault(k, Counter())[value] += 1
+    accepted = set()
+    while True:
+        doubt = {}
+        for k, values in seen.items():
+            inside = [v for v in values if known[v] or v in accepted]
+            if pii.SUPPORT <= len(inside) < len(values):
+                held = sum(values[v] for v in inside)
+                precision = held / (held + negatives[k])
+                if precision >= pii.TRUST:
+                    for v in set(values) - set(inside):
+                        doubt[v] = doubt.get(v, 0.0) + math.log(max(1 - precision, 1e-9))
+        found = {v for v, x in doubt.items() if 1 - math.exp(x) >= pii.ACCEPT}
+        if not found:
+            return sorted((i, a, b) for i, a, b, v, hit in placed if v in accepted and not hit), accepted
+        accepted |= found
+
+
+def identified(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = pii.find(df, ["doc_id"]).select("src.doc_id", F.explode("spans").alias("s")).where(F.col("s.kind_order") == 4)
+    return sorted((r["doc_id"], r["s"]["start"], r["s"]["end"]) for r in rows.collect())
+
+
+def test_discovery_matches_plain_rounds(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    seeds = [f"user{i}@mail.org" for i in range(6)]
+    texts |= {10**6 + i: f"(Contact: {s}) ref {i}X- and more" for i, s in enumerate(seeds)}  # the colon is what tells
+    texts |= {10**6 + 10: "contact: A-7731; contact the office", 10**6 + 11: "contact 55-B", 10**6 + 12: "Ticket A-7731 | A-7731 K99 K99"}
+    texts |= {10**6 + 20 + i: f"+1 555{i} tail" for i in range(3)} | {10**6 + 30 + i: f"phone +1 (743) 555-38{i}4 K99" for i in range(6)}
+    texts |= {10**6 + 40: None, 10**6 + 41: "", 10**6 + 42: "9" * 50_000 + " contact: " + "8z" * 5000}
+    wanted, values = accepted_plainly(texts)
+    assert identified(spark, texts) == wanted and "A-7731" in values and "55-B" not in values and len(wanted) > 4
+
+
 def test_redact(spark):
     df = spark.createDataFrame([("mail a@b.cd now, 1.2.3.4", 1), ("none", 2), (None, 3), ("é a@b.cd, and on", 4), ("a@b.cd", 5)], "text string, doc_id long")
     out = pii.find(df, ["text", "doc_id"]).select("src.doc_id", pii.redact(F.col("src.text"), F.col("spans")).alias("t")).orderBy("doc_id").collect()
