@@ -15,9 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector over its length; null for a zero vector."""
+    """The vector over its length; null for a zero vector and for one that is not finite."""
     lengths = F.array_repeat(norm(a), F.size(a))  # a lambda would work the length out again for each component
-    return F.when(norm(a) > 0, F.zip_with(a, lengths, lambda x, n: x.cast("double") / n))
+    return F.when((norm(a) > 0) & (norm(a) < float("inf")), F.zip_with(a, lengths, lambda x, n: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

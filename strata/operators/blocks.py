@@ -1,9 +1,10 @@
 """Pairs of row blocks: both sides are packed into blocks of bounded size, and blocks meet by an equi join on bucket numbers.
 
-Nothing reaches the driver but a count. The asking side's blocks are copied into every bucket of the other side's, and a
-bucket holds ``PER_BUCKET`` full blocks of it, so what one key holds does not grow with the data. Rows with a null
-vector, an empty one or one with null components take no part, and only vectors of equal lengths meet. If both sides have
-a group ``g``, a block is of one group and meets only blocks of the same one; rows with a null group take no part.
+Both sides are dealt out to buckets of some ``PER_BUCKET`` full blocks, counted group by group, and a key is a pair of
+buckets: a cell of a grid. A block is copied once for each bucket of the other side, so one key holds a bounded number of
+blocks of either side however large a group is, and nothing reaches the driver. Rows with a null vector, an empty one or
+one with null, NaN or infinite components take no part, and only vectors of equal lengths meet. If both sides have a
+group ``g``, a block is of one group and meets only blocks of the same one; rows with a null group take no part.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block, and blocks of the other side that share a bucket.
+#: Rows of a block, and full blocks that share a bucket.
 BLOCK, PER_BUCKET = 2048, 8
 #: Bytes that a Python worker is handed at a time.
 BATCH_BYTES = 16 << 20
@@ -31,8 +32,9 @@ class Side(NamedTuple):
 
 
 def complete(df: DataFrame, vector: str = "v") -> DataFrame:
-    """The rows whose vector is neither null nor empty and holds no null."""
-    return df.where(F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull()), F.lit(False)))
+    """The rows whose vector is neither null nor empty and holds finite numbers only."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))  # NaN is above all
+    return df.where(F.coalesce((F.size(vector) > 0) & finite, F.lit(False)))
 
 
 def packed(df: DataFrame, extra: list[str], grouped: bool, block: int) -> DataFrame:
@@ -64,9 +66,19 @@ def packed(df: DataFrame, extra: list[str], grouped: bool, block: int) -> DataFr
         for key in list(held):
             yield close(key)
 
+    return _taking_part(df, extra, grouped).mapInPandas(run, "g long, size int, ids binary, v binary, x binary")
+
+
+def _taking_part(df: DataFrame, extra: list[str], grouped: bool) -> DataFrame:
     group = F.col("g").cast("long") if grouped else F.lit(0).cast("long")
     chosen = complete(df).where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "v", group.alias("g"), *[F.col(c).cast("double").alias(c) for c in extra])
-    return chosen.where("g IS NOT NULL").mapInPandas(run, "g long, size int, ids binary, v binary, x binary")
+    return chosen.where("g IS NOT NULL")
+
+
+def _buckets(df: DataFrame, grouped: bool, block: int, name: str) -> DataFrame:
+    """(g, size, name): how many buckets a side's rows of a group and vector length make."""
+    held = _taking_part(df, [], grouped).groupBy("g", F.size("v").alias("size")).agg(F.count("*").alias("n"))
+    return held.select("g", "size", F.ceil(F.col("n") / (block * PER_BUCKET)).cast("int").alias(name))
 
 
 def block_pairs(queries: DataFrame, ref: DataFrame, function: Callable[[Side, Side], pd.DataFrame | None], schema: str, extra: tuple[list[str], list[str]] = ((), ()), block: int = BLOCK) -> DataFrame:
@@ -74,10 +86,14 @@ def block_pairs(queries: DataFrame, ref: DataFrame, function: Callable[[Side, Si
     spark = ref.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     grouped = "g" in queries.columns and "g" in ref.columns
-    buckets = max(1, -(-ref.count() // (block * PER_BUCKET)))
-    asking = packed(queries, list(extra[0]), grouped, block).select("g", "size", *[F.col(c).alias(f"q_{c}") for c in ("ids", "v", "x")])
-    asking = asking.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    asked = packed(ref, list(extra[1]), grouped, block).withColumn("bucket", F.pmod(F.xxhash64("ids"), F.lit(buckets)).cast("int"))
+    of_ref = _buckets(ref, grouped, block, "buckets")
+    of_queries = of_ref.withColumnRenamed("buckets", "q_buckets") if queries is ref else _buckets(queries, grouped, block, "q_buckets")
+    cells = of_ref.join(of_queries, ["g", "size"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = packed(queries, list(extra[0]), grouped, block).select("g", "size", *[F.col(c).alias(f"q_{c}") for c in ("ids", "v", "x")]).join(cells, ["g", "size"])
+    asking = asking.withColumn("q_bucket", F.pmod(F.xxhash64("q_ids"), "q_buckets").cast("int")).withColumn("bucket", every("buckets")).drop("buckets", "q_buckets")
+    asked = packed(ref, list(extra[1]), grouped, block).join(cells, ["g", "size"])
+    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("ids"), "buckets").cast("int")).withColumn("q_bucket", every("q_buckets")).drop("buckets", "q_buckets")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def side(ids: bytes, v: bytes, x: bytes, size: int) -> Side:
@@ -91,4 +107,4 @@ def block_pairs(queries: DataFrame, ref: DataFrame, function: Callable[[Side, Si
                     yield out
 
     columns = ["size", "q_ids", "q_v", "q_x", "ids", "v", "x"]
-    return asking.join(asked, ["g", "size", "bucket"]).select(*columns).mapInPandas(run, schema)
+    return asking.join(asked, ["g", "size", "bucket", "q_bucket"]).select(*columns).mapInPandas(run, schema)

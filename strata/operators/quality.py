@@ -117,16 +117,21 @@ def identity_scores(pairs: DataFrame, group: str, first: str, second: str) -> Da
     """``pairs`` (both directions) with score: the first similarity's z-score in its group less the second's."""
     whole = pairs.groupBy(group).agg(*[f(c).alias(f"{t}_{c}") for c in (first, second) for t, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = lambda c: F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}"))
-    return pairs.join(F.broadcast(whole), group).withColumn("score", z(first) - z(second)).select(*pairs.columns, "score")
+    return pairs.join(whole, group).withColumn("score", z(first) - z(second)).select(*pairs.columns, "score")
 
 
-def precision_at(pairs: DataFrame, group: str, score: str, n: int, gate: str | None = None, k: int = 0) -> DataFrame:
-    """(group, precision, chance): the share of each row's n best-scored others with its label, and that of any other; with ``gate``, only among the k most similar by it."""
+def precision_of(pairs: DataFrame, group: str, score: str, n: int, gate: str | None = None, k: int = 0) -> DataFrame:
+    """(a, group, hits, found, precision) of each row: the share of its n best-scored others with its label; with ``gate``, only among the k most similar by it."""
     place = lambda by: F.row_number().over(Window.partitionBy("a").orderBy(F.desc(by), "b"))
-    rows = pairs if gate is None else pairs.withColumn("gate_place", place(gate)).where(F.col("gate_place") <= k)
-    top = rows.withColumn("score_place", place(score)).where(F.col("score_place") <= n)
-    share = F.avg(F.when(F.col("same"), 1.0).otherwise(0.0))
-    return top.groupBy(group).agg(share.alias("precision")).join(pairs.groupBy(group).agg(share.alias("chance")), group)
+    near = pairs if gate is None else pairs.withColumn("gate_place", place(gate)).where(F.col("gate_place") <= k)
+    top = near.withColumn("score_place", place(score)).where(F.col("score_place") <= n)
+    return top.groupBy("a", group).agg(F.count_if("same").alias("hits"), F.count("*").alias("found")).withColumn("precision", F.col("hits") / F.col("found"))
+
+
+def precision_at(pairs: DataFrame, group: str, score: str, n: int, gate: str | None = None, k: int = 0) -> DataFrame:
+    """(group, precision, chance): the share of the rows' n best-scored others with their label, and that of any other."""
+    share = precision_of(pairs, group, score, n, gate, k).groupBy(group).agg((F.sum("hits") / F.sum("found")).alias("precision"))
+    return share.join(pairs.groupBy(group).agg(F.avg(F.when(F.col("same"), 1.0).otherwise(0.0)).alias("chance")), group)
 
 
 def go_or_stop(gain: Column, low: Column, least: float = 0.02) -> Column:

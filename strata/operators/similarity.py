@@ -55,13 +55,14 @@ def ranks_in(asked: DataFrame, ref: DataFrame, block: int = BLOCK) -> DataFrame:
     """
 
     def count(own: Side, other: Side) -> pd.DataFrame:
-        target, sim = own.x[:, 0].astype(np.int64), own.x[:, 1]  # ids under 2**53 are whole in double
+        target, sim = own.x[:, 0].astype(np.int64) * 2**32 + own.x[:, 1].astype(np.int64), own.x[:, 2]
         ahead = _units(own.v) @ _units(other.v).T - sim[:, None]
         better = (ahead > 1e-12) | (np.abs(ahead) <= 1e-12) & (other.ids[None, :] < target[:, None])
         better &= (other.ids[None, :] != own.ids[:, None]) & (other.ids[None, :] != target[:, None])
         return pd.DataFrame({"id": own.ids, "target": target, "n": better.sum(axis=1)})
 
-    found = block_pairs(asked, ref, count, "id long, target long, n long", (["target", "sim"], []), block)
+    halves = asked.withColumn("high", F.shiftright("target", 32)).withColumn("low", F.col("target").bitwiseAND(F.lit(2**32 - 1)))  # numbers beside a vector are doubles
+    found = block_pairs(halves, ref, count, "id long, target long, n long", (["high", "low", "sim"], []), block)
     return found.groupBy("id", "target").agg((F.sum("n") + 1).cast("int").alias("rank"))
 
 
@@ -90,6 +91,23 @@ def two_similarities(side: DataFrame, at: int, block: int = BLOCK) -> DataFrame:
     return block_pairs(side, side, compare, "a long, b long, first double, second double", block=block)
 
 
+def extreme_pairs(side: DataFrame, label: str, n: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim, same), a < b, of rows (id, v[, g], label): each two blocks' n most similar pairs of different labels and n least similar ones of the same, ties by (a, b); the n of all are among them."""
+
+    def choose(own: Side, other: Side) -> pd.DataFrame:
+        sims = np.round(_units(own.v) @ _units(other.v).T, 9)
+        allowed = (own.ids[:, None] < other.ids[None, :]) & np.isfinite(sims)
+        same = own.x[:, 0][:, None] == other.x[:, 0][None, :]
+        out = []
+        for wanted, sign in ((allowed & ~same, -1.0), (allowed & same, 1.0)):
+            i, j = np.nonzero(wanted)
+            first = np.lexsort((other.ids[j], own.ids[i], sign * sims[i, j]))[:n]
+            out.append(pd.DataFrame({"a": own.ids[i[first]], "b": other.ids[j[first]], "sim": sims[i[first], j[first]], "same": sign > 0}))
+        return pd.concat(out)
+
+    return block_pairs(side, side, choose, "a long, b long, sim double, same boolean", ([label], [label]), block)
+
+
 def hamming_pairs(a: DataFrame, b: DataFrame, most: int, bits: int = 64) -> DataFrame:
     """(a, b, dist) of all pairs whose hashes differ in at most ``most`` bits. Sides are (id, h long).
 

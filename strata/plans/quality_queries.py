@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from strata.functions import geometry, text
 from strata.functions.sampling import hash_key
 from strata.functions.vectors import cosine
-from strata.operators import labels, losses, metrics, quality, similarity
+from strata.operators import labels, losses, metrics, quality, resampling, similarity
+from strata.operators.durable import settled
+from strata.operators.resampling import draws_sql
 
 from .embedding_queries import _E, rows
 from .registry import register, table
@@ -148,22 +150,32 @@ def byte_identical_groups(spark, sf_dir):
 # ---- error analysis
 
 
-def _pairs(spark, sf_dir):
-    df = rows(spark, sf_dir)
-    side = df.select("id", "v", F.col("coarse").alias("g"))
-    of = lambda end: df.select(F.col("id").alias(end), F.col("fine").alias(f"f{end}"), *([F.col("coarse")] if end == "a" else []))
-    pairs = similarity.pairs_over(side, side, -2.0).join(F.broadcast(of("a")), "a").join(F.broadcast(of("b")), "b")
-    return pairs.select("coarse", "a", "b", F.round("sim", 9).alias("sim"), (F.col("fa") == F.col("fb")).alias("same"))
+def _mixed(df):
+    """The rows of coarse classes with two fine classes or more."""
+    return df.join(df.groupBy("coarse").agg(F.count_distinct("fine").alias("k")).where("k > 1").select("coarse"), "coarse", "left_semi")
+
+
+_MIXED = "(SELECT coarse FROM E GROUP BY coarse HAVING count(DISTINCT fine) > 1)"
+_CASES = f"""WITH {_E}, Q AS (SELECT a, b, ca, round(sim, 9) AS sim, fa = fb AS same FROM P WHERE a < b AND ca = cb AND ca IN {_MIXED}),
+N AS (SELECT 'false' AS kind, row_number() OVER (ORDER BY sim DESC, a, b) AS place, a, b, sim FROM Q WHERE NOT same QUALIFY place <= 20 UNION ALL SELECT 'missed', row_number() OVER (ORDER BY sim, a, b) AS place, a, b, sim FROM Q WHERE same QUALIFY place <= 20),
+K AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM P WHERE ca = cb),
+F AS (SELECT kind, place, CASE WHEN y.rank < x.rank THEN N.b ELSE N.a END AS a, CASE WHEN y.rank < x.rank THEN N.a ELSE N.b END AS b, sim, least(x.rank, y.rank) AS rank_ab, greatest(x.rank, y.rank) AS rank_ba FROM N JOIN K x ON x.a = N.a AND x.b = N.b JOIN K y ON y.a = N.b AND y.b = N.a)"""
 
 
-_CASES = f"""WITH {_E}, Q AS (SELECT a, b, round(sim, 9) AS sim, fa = fb AS same FROM P WHERE a < b AND ca = cb),
-F AS (SELECT 'false' AS kind, row_number() OVER (ORDER BY sim DESC, a, b) AS place, a, b, sim FROM Q WHERE NOT same QUALIFY place <= 20 UNION ALL SELECT 'missed', row_number() OVER (ORDER BY sim, a, b) AS place, a, b, sim FROM Q WHERE same QUALIFY place <= 20)"""
+def _failures(spark, sf_dir, n: int = 20):
+    """(kind, place, a, b, sim, rank_ab, rank_ba): the failures, a is the row that ranks the other higher within the class."""
+    side = _mixed(rows(spark, sf_dir)).select("id", "v", F.col("coarse").alias("g"), "fine")
+    found = settled(quality.failure_cases(similarity.extreme_pairs(side, "fine", n), n))
+    asked = lambda a, b: found.select(F.col(a).alias("id"), F.col(b).alias("target")).join(side, "id").join(side.select(F.col("id").alias("target"), F.col("v").alias("w")), "target").select("id", "target", "v", "g", cosine(F.col("v"), F.col("w")).alias("sim"))
+    ranks = settled(similarity.ranks_in(asked("a", "b").unionByName(asked("b", "a")), side))
+    one = lambda a, b, name: ranks.select(F.col("id").alias(a), F.col("target").alias(b), F.col("rank").alias(name))
+    ranked = found.join(one("a", "b", "rank_ab"), ["a", "b"]).join(one("b", "a", "rank_ba"), ["a", "b"])
+    return quality.oriented(ranked)
 
 
-@register("failure_cases", f"{_CASES} SELECT kind, place::INT AS place, a, b, round(sim, 6) AS sim FROM F")
+@register("failure_cases", f"{_CASES} SELECT kind, place::INT AS place, a, b, round(sim, 6) AS sim, rank_ab::INT AS rank_ab, rank_ba::INT AS rank_ba FROM F")
 def failure_cases(spark, sf_dir):
-    found = quality.failure_cases(_pairs(spark, sf_dir).where("a < b"), 20)
-    return found.select("kind", "place", "a", "b", F.round("sim", 6).alias("sim"))
+    return _failures(spark, sf_dir).select("kind", "place", "a", "b", F.round("sim", 6).alias("sim"), "rank_ab", "rank_ba")
 
 
 @register("failure_controls", f"""{_CASES}, R AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM P WHERE fa = fb)
@@ -171,7 +183,7 @@ SELECT F.a AS query, F.b AS partner, R.b AS other, R.rank::INT AS rank FROM F JO
 def failure_controls(spark, sf_dir):
     df = rows(spark, sf_dir)
     side = df.select("id", "v", F.col("fine").alias("g"))
-    asked = failure_cases(spark, sf_dir).select(F.col("a").alias("query"), F.col("b").alias("partner"))
+    asked = _failures(spark, sf_dir).select(F.col("a").alias("query"), F.col("b").alias("partner"))
     return quality.best_alternatives(asked, similarity.top_k(side, side, 2))
 
 
@@ -192,15 +204,15 @@ def _pairs_of_fine(spark, sf_dir):
     return similarity.pairs_over(side, side, -2.0)
 
 
-_TWO = f"""WITH {_E}, W AS (SELECT a.coarse, a.id AS a, b.id AS b, a.fine = b.fine AS same, round(list_cosine_similarity(a.v[1:32], b.v[1:32]), 9) AS f, round(list_cosine_similarity(a.v[33:64], b.v[33:64]), 9) AS s FROM E a JOIN E b ON a.coarse = b.coarse AND a.id <> b.id),
+_TWO = f"""WITH {_E}, W AS (SELECT a.coarse, a.id AS a, b.id AS b, a.fine = b.fine AS same, round(list_cosine_similarity(a.v[1:32], b.v[1:32]), 9) AS f, round(list_cosine_similarity(a.v[33:64], b.v[33:64]), 9) AS s FROM E a JOIN E b ON a.coarse = b.coarse AND a.id <> b.id WHERE a.coarse IN {_MIXED}),
 Z AS (SELECT *, round((f - avg(f) OVER w) / stddev_pop(f) OVER w - (s - avg(s) OVER w) / stddev_pop(s) OVER w, 6) AS score FROM W WINDOW w AS (PARTITION BY coarse))"""
 
 
 def _scored(spark, sf_dir):
-    df = rows(spark, sf_dir)
+    df = _mixed(rows(spark, sf_dir))
     both = similarity.two_similarities(df.select("id", "v", F.col("coarse").alias("g")), 32)
     of = lambda end: df.select(F.col("id").alias(end), F.col("fine").alias(f"f{end}"), *([F.col("coarse")] if end == "a" else []))
-    pairs = both.join(F.broadcast(of("a")), "a").join(F.broadcast(of("b")), "b")
+    pairs = both.join(of("a"), "a").join(of("b"), "b")
     pairs = pairs.select("coarse", "a", "b", (F.col("fa") == F.col("fb")).alias("same"), F.round("first", 9).alias("first"), F.round("second", 9).alias("second"))
     return quality.identity_scores(pairs, "coarse", "first", "second").withColumn("score", F.round("score", 6))
 
@@ -211,16 +223,24 @@ def identity_precision(spark, sf_dir):
     return quality.precision_at(_scored(spark, sf_dir), "coarse", "first", 5).select("coarse", *_six("precision", "chance"))
 
 
-@register("identity_gain")
+_GAIN = f"""{_TWO}, G AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY f DESC, b) AS place FROM Z), S AS (SELECT a, coarse, avg(same::INT) AS gated FROM (SELECT * FROM G WHERE place <= 20 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5) GROUP BY ALL),
+R AS (SELECT a, coarse, gated, plain, gated - plain AS gain FROM S JOIN (SELECT a, avg(same::INT) AS plain FROM G WHERE place <= 5 GROUP BY a) USING (a)),
+Y AS (SELECT R.*, b, {draws_sql('a', 'b', 0)} AS w FROM R, range(0, 1001) t(b)), M AS (SELECT coarse::VARCHAR AS grp, b, metric, v FROM (SELECT coarse, b, sum(w * gain) / sum(w) AS gain, sum(w * gated) / sum(w) AS gated, sum(w * plain) / sum(w) AS plain FROM Y GROUP BY ALL) UNPIVOT (v FOR metric IN (gain, gated, plain))),
+A AS (SELECT * FROM M UNION ALL SELECT 'macro', b, metric, avg(v) FROM M GROUP BY ALL),
+I AS (SELECT grp, metric, max(CASE WHEN b = 0 THEN v END) AS mean, quantile_cont(CASE WHEN b > 0 THEN v END, 0.025) AS lo, quantile_cont(CASE WHEN b > 0 THEN v END, 0.975) AS hi FROM A GROUP BY ALL)
+SELECT grp AS "group", metric, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN grp = 'macro' AND metric = 'gain' THEN CASE WHEN mean >= 0.02 AND lo > 0 THEN 'go' ELSE 'stop' END END AS decision FROM I"""
+
+
+@register("identity_gain", _GAIN)
 def identity_gain(spark, sf_dir):
-    """How much the identity score gains over the first similarity, plain and gated, and the decision it leads to."""
-    scored = _scored(spark, sf_dir)
-    plain = quality.precision_at(scored, "coarse", "first", 5).select("coarse", F.col("precision").alias("plain"), "chance")
-    gated = quality.precision_at(scored, "coarse", "score", 5, "first", 20).select("coarse", F.col("precision").alias("gated"))
-    auroc = [metrics.auroc_by(scored.where("a < b").withColumn("x", F.col(c)), "coarse", "x", "same").select("coarse", F.col("auroc").alias(f"auroc_{c}")) for c in ("first", "score")]
-    joined = plain.join(gated, "coarse").join(auroc[0], "coarse").join(auroc[1], "coarse")
-    gain = F.col("gated") - F.col("plain")
-    return joined.withColumn("gain", gain).withColumn("decision", quality.go_or_stop(gain, F.col("auroc_score") - F.col("auroc_first")))
+    """How much better the five best by the identity score, of the 20 most similar, are than the five most similar, with intervals over resampled rows; and the decision, which the lower end of the gain's interval takes part in."""
+    scored = settled(_scored(spark, sf_dir))
+    plain = quality.precision_of(scored, "coarse", "first", 5).select("a", "coarse", F.col("precision").alias("plain"))
+    gated = quality.precision_of(scored, "coarse", "score", 5, "first", 20).select("a", F.col("precision").alias("gated"))
+    gains = plain.join(gated, "a").withColumn("gain", F.col("gated") - F.col("plain"))
+    table = resampling.intervals(gains, "coarse", "a", resampling.means_of(["plain", "gated", "gain"]), ["plain", "gated", "gain"])
+    decided = F.when((F.col("group") == "macro") & (F.col("metric") == "gain"), quality.go_or_stop(F.col("mean"), F.col("lo")))
+    return table.select("group", "metric", *_six("mean", "lo", "hi"), decided.alias("decision"))
 
 
 # ---- report tables

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import embedding_queries, episode_queries, model_queries, quality_queries, representation_queries, synthesis_queries, table_queries  # noqa: F401  they register themselves
+    from . import embedding_queries, episode_queries, model_queries, quality_queries, representation_queries, resampling_queries, synthesis_queries, table_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
