@@ -7,8 +7,8 @@ all bounds left, so results are exact. Queries are taken in blocks of at most ``
 broadcast, however many queries there are. Each pass reads the file once, and a task keeps k results a query.
 
 Rows whose id or vector is null, or whose vector is empty or holds null or non-finite components, take no part, neither
-do those with a component of 2**61 or more when scaled, or vectors of another length than the query's. A score that is no
-64-bit integer is an error. A row that shares the query's id is its own, too. Repeated query rows are answered each. Empty tables give empty results.
+do vectors of another length than the query's. A finite component of 2**61 or more when scaled is an error, as is a score
+that is no 64-bit integer: neither is dropped. A row that shares the query's id is its own, too. Repeated query rows are answered each. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -92,9 +92,11 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def integers(df: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
     """(id, v) of the rows that take part."""
     x = F.col(f"`{vector}`")
-    fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * float(scale)) < float(2**61)))
+    fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
     rows = df.where(F.col(f"`{id_column}`").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(fine, F.lit(False)))
-    return rows.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e.cast("double")).cast("long")).alias("v"))
+    scaled = lambda e: F.lit(float(scale)) * e.cast("double")
+    whole = lambda e: F.when(F.abs(scaled(e)) < float(2**61), F.floor(scaled(e)).cast("long")).otherwise(F.raise_error(F.lit("a scaled component is no integer of 61 bits")).cast("long"))
+    return rows.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
 
 class _Best:

@@ -201,10 +201,13 @@ def test_search_of_large_and_tied_numbers(spark):
     got = [tuple(r) for r in vectors.top_k(df, F.col("vec_id") == 50).orderBy("rank").collect()]
     x, y = 2_560_000_000, 512
     assert got == [(50, 1, 52, x * x + y * y), (50, 2, 53, x * x + y * y), (50, 3, 0, x * x), (50, 4, 51, -x * x)]
-    huge = spark.createDataFrame([(0, [1e15]), (50, [1e15]), (51, [1e300]), (52, [1.0])], "vec_id long, embedding array<double>")
+    huge = spark.createDataFrame([(0, [1e15]), (50, [1e15]), (51, [float("inf")]), (52, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="no 64-bit integer"):
         vectors.top_k(huge, F.col("vec_id") == 50).collect()
-    fine = spark.createDataFrame([(50, [1e13]), (51, [1e300]), (52, [1.0])], "vec_id long, embedding array<double>")
+    larger = spark.createDataFrame([(50, [1e13]), (51, [1e17]), (52, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="no integer of 61 bits"):
+        vectors.top_k(larger, F.col("vec_id") == 50).collect()
+    fine = spark.createDataFrame([(50, [1e13]), (51, [float("nan")]), (52, [1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in vectors.top_k(fine, F.col("vec_id") == 50).collect()] == [(50, 1, 52, 256 * 256 * 10**13)]
 
 
