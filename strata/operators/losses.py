@@ -5,12 +5,16 @@ Pair losses meet in blocks (see blocks), so what a task holds is bounded. Undefi
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Side, block_pairs
+from .blocks import Side, block_pairs, complete
 from .similarity import _units
 
 
@@ -116,3 +120,86 @@ def fine_to_coarse(votes: np.ndarray, penalty: float = 0.0) -> list[int]:
     must = np.abs(votes).max() * n + penalty * n * n + 1
     cost = np.concatenate([-votes + penalty * s - (must if s == 0 else 0) for s in range(slots)], axis=1)
     return [column % m for _, column in sorted(assign(cost))]
+
+
+# ---- how far embeddings are from an isotropic normal distribution
+
+#: Groups that a task keeps sums of.
+_KEPT = 32
+
+
+def directions(size: int, slices: int, seed: int = 0) -> np.ndarray:
+    """(size, slices): unit vectors of normal numbers, each drawn from two md5 keys seed:slice:component:0 and :1, so any engine can repeat them."""
+
+    def uniform(s: int, i: int, k: int) -> float:
+        return (int(hashlib.md5(f"{seed}:{s}:{i}:{k}".encode()).hexdigest()[:8], 16) + 1) / 2**32
+
+    drawn = [[math.sqrt(-2 * math.log(uniform(s, i, 0))) * math.cos(2 * math.pi * uniform(s, i, 1)) for s in range(slices)] for i in range(size)]
+    found = np.array(drawn).reshape(size, slices)
+    return found / np.sqrt((found * found).sum(axis=0))
+
+
+def directions_sql(size: int, slices: int, seed: int = 0) -> str:
+    """The same as a query (s, d): a list for each slice."""
+    uniform = lambda k: f"((('0x' || substr(md5('{seed}:' || s || ':' || i || ':{k}'), 1, 8))::BIGINT + 1) / 4294967296.0)"
+    drawn = f"SELECT s, list(sqrt(-2 * ln({uniform(0)})) * cos(2 * pi() * {uniform(1)}) ORDER BY i) AS d FROM range({slices}) a(s), range({size}) b(i) GROUP BY s"
+    return f"SELECT s, list_transform(d, lambda x: x / sqrt(list_inner_product(d, d))) AS d FROM ({drawn})"
+
+
+def normality(df: DataFrame, group: str, slices: int = 1024, points: int = 17, seed: int = 0) -> DataFrame:
+    """(group, n, sigreg) of rows (group, v): the mean over random directions of the Epps-Pulley distance between the rows' characteristic function along it and that of a standard normal distribution, times the rows.
+
+    One pass: partitions add up cosines and sines at ``points`` places in [-5, 5], so what is moved does not grow with the rows. Rows whose vector is not whole take no part.
+    """
+    t = np.linspace(-5, 5, points)
+    normal = np.exp(-t * t / 2)
+    weights = np.full(points, t[1] - t[0])
+    weights[[0, -1]] /= 2
+    kind = "g string, n long, sums binary"
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
+        drawn: dict[int, np.ndarray] = {}
+
+        def out() -> pd.DataFrame:
+            found = pd.DataFrame([(g, n, s.tobytes()) for g, (n, s) in held.items()], columns=["g", "n", "sums"])
+            held.clear()
+            return found
+
+        for frame in frames:
+            for g, own in frame.groupby("g"):
+                x = np.stack([np.asarray(v, np.float64) for v in own["v"]])
+                if x.shape[1] not in drawn:
+                    drawn[x.shape[1]] = directions(x.shape[1], slices, seed)
+                angle = x @ drawn[x.shape[1]]
+                s = np.stack([np.stack([f(angle * at).sum(axis=0) for at in t]) for f in (np.cos, np.sin)])
+                held[g] = [held[g][0] + len(x), held[g][1] + s] if g in held else [len(x), s]
+            if len(held) > _KEPT:
+                yield out()
+        yield out()
+
+    def total(frame: pd.DataFrame) -> tuple[int, np.ndarray]:
+        return int(frame["n"].sum()), np.sum([np.frombuffer(s) for s in frame["sums"]], axis=0)
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        n, sums = total(frame)
+        return pd.DataFrame({"g": [frame["g"].iloc[0]], "n": [n], "sums": [sums.tobytes()]})
+
+    def finished(frame: pd.DataFrame) -> pd.DataFrame:
+        n, sums = total(frame)
+        cos, sin = sums.reshape(2, points, slices) / n
+        distance = (((cos - normal[:, None]) ** 2 + sin**2) * (normal * weights)[:, None]).sum(axis=0) * n
+        return pd.DataFrame({group: [frame["g"].iloc[0]], "n": [n], "sigreg": [distance.mean()]})
+
+    rows = complete(df).where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("g"), "v")
+    parts = rows.mapInPandas(add, kind).withColumn("salt", F.spark_partition_id() % 32)
+    return parts.groupBy("g", "salt").applyInPandas(merged, kind).groupBy("g").applyInPandas(finished, f"{group} string, n long, sigreg double")
+
+
+def joint_embedding(df: DataFrame, share: float = 0.05, slices: int = 1024, points: int = 17, seed: int = 0) -> DataFrame:
+    """One row, loss, invariance and sigreg, of rows (id, view, v): (1 - share) times the mean squared distance of a view's component to its mean over the id's views, and share times the views' mean ``normality``."""
+    parts = complete(df).select("id", F.posexplode("v").alias("i", "x")).groupBy("id", "i").agg(F.count("x").alias("n"), F.avg(F.col("x").cast("double")).alias("m"), F.var_pop(F.col("x").cast("double")).alias("var"))
+    invariance = parts.agg((F.sum(F.col("n") * F.col("var")) / F.sum("n")).alias("invariance"))
+    sigreg = normality(df, "view", slices, points, seed).agg(F.avg("sigreg").alias("sigreg"))
+    one = invariance.crossJoin(F.broadcast(sigreg))  # one row each
+    return one.select(((1 - share) * F.col("invariance") + share * F.col("sigreg")).alias("loss"), "invariance", "sigreg")

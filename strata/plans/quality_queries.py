@@ -79,14 +79,10 @@ def _close(spark, sf_dir):
     return similarity.pairs_over(side, side, _NEAR).where("a < b").select("a", "b", "sim")
 
 
-@register("excluded_ids", f"{_X} SELECT id FROM X WHERE digest IN (SELECT digest FROM M) AND id % 3 = 0 UNION SELECT a FROM P WHERE sim >= {_NEAR} AND fa <> fb")
+@register("excluded_ids", f"{_X} SELECT id FROM X WHERE digest IN (SELECT digest FROM M) UNION SELECT a FROM P WHERE sim >= {_NEAR} AND fa <> fb")
 def excluded_ids(spark, sf_dir):
     exact = _exact(spark, sf_dir)
-    found = quality.excluded(exact, _close(spark, sf_dir), exact.select("id", "label"))
-    near = _close(spark, sf_dir)
-    of = exact.select("id", "label")
-    only = quality.excluded(exact.limit(0), near, of)
-    return found.where("id % 3 = 0").join(quality.excluded(exact, near.limit(0), of), "id", "left_semi").unionByName(only).distinct()
+    return quality.excluded(exact, _close(spark, sf_dir), exact.select("id", "label"))
 
 
 @register("conflict_pairs", f"{_X} SELECT a, b, a % 97 = b % 97 AS exact, sim >= {_NEAR} AS near FROM P WHERE a < b AND fa <> fb AND (a % 97 = b % 97 OR sim >= {_NEAR})")

@@ -1,10 +1,10 @@
-"""Registered queries of resampled measures, and of communities of the neighbour graph."""
+"""Registered queries of resampled measures, of communities of the neighbour graph, and of how normal embeddings are."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import communities, metrics, resampling, similarity
+from strata.operators import communities, losses, metrics, resampling, similarity
 from strata.operators.durable import settled
 from strata.operators.resampling import draws_sql
 
@@ -48,3 +48,24 @@ def leiden_by_class(spark, sf_dir):
     labelled = found.join(rows(spark, sf_dir).select("id", "fine"), "id")
     counts = found.groupBy("g").agg(F.count_distinct("c").alias("communities"))
     return metrics.agreement_by(labelled, "g", "fine", "c").join(counts, "g").join(communities.modularity(edges, found), "g").select(F.col("g").alias("coarse"), "n", "communities", "q", "ari", "nmi")
+
+
+_NORMAL = """A AS (SELECT {g}, s, list_inner_product(v, d) AS x FROM {rows}, D), C AS (SELECT {g}, s, k, count(*) AS n, avg(cos(x * (k * 0.625 - 5))) AS c, avg(sin(x * (k * 0.625 - 5))) AS i FROM A, range(17) p(k) GROUP BY ALL),
+S AS (SELECT {g}, s, max(n) AS n, max(n) * sum((pow(c - exp(-pow(k * 0.625 - 5, 2) / 2), 2) + i * i) * exp(-pow(k * 0.625 - 5, 2) / 2) * CASE WHEN k IN (0, 16) THEN 0.3125 ELSE 0.625 END) AS x FROM C GROUP BY ALL), N AS (SELECT {g}, max(n) AS n, avg(x) AS sigreg FROM S GROUP BY {g})"""
+
+
+@register("normality_by_class", f"""WITH {_E}, D AS ({losses.directions_sql(64, 128)}), R AS (SELECT coarse, list_transform(v, lambda x: 8 * x) AS v FROM E), {_NORMAL.format(g="coarse", rows="R")} SELECT coarse::VARCHAR AS coarse, n, round(sigreg, 6) AS sigreg FROM N""")
+def normality_by_class(spark, sf_dir):
+    """How far each coarse class is from an isotropic normal distribution, along 128 directions; vectors are times eight, the root of their length."""
+    scaled = rows(spark, sf_dir).select("coarse", F.transform("v", lambda x: 8 * x.cast("double")).alias("v"))
+    return losses.normality(scaled, "coarse", slices=128).select("coarse", "n", F.round("sigreg", 6).alias("sigreg"))
+
+
+@register("joint_embedding", f"""WITH {_E}, D AS ({losses.directions_sql(64, 128)}), R AS (SELECT id, view, list_transform(CASE WHEN view = 0 THEN v ELSE list_reverse(v) END, lambda x: 8 * x) AS v FROM E, range(2) w(view)), {_NORMAL.format(g="view", rows="R")},
+I AS (SELECT avg(x) AS invariance FROM (SELECT pow(v[i] - avg(v[i]) OVER (PARTITION BY id, i), 2) AS x FROM R, range(1, 65) t(i))) SELECT round(0.95 * invariance + 0.05 * (SELECT avg(sigreg) FROM N), 6) AS loss, round(invariance, 6) AS invariance, (SELECT round(avg(sigreg), 6) FROM N) AS sigreg FROM I""")
+def joint_embedding(spark, sf_dir):
+    """Invariance of two views, the vector and its mirror image, and the normality of each."""
+    df = rows(spark, sf_dir)
+    views = df.select("id", F.lit(0).alias("view"), "v").unionByName(df.select("id", F.lit(1).alias("view"), F.reverse("v").alias("v")))
+    found = losses.joint_embedding(views.withColumn("v", F.transform("v", lambda x: 8 * x.cast("double"))), slices=128)
+    return found.select(*[F.round(c, 6).alias(c) for c in ("loss", "invariance", "sigreg")])
