@@ -24,6 +24,8 @@ from .durable import settled
 
 #: Rows of a class that first centres are drawn from, the widest search for K, and the silhouette that is enough.
 SAMPLE, K_MAX, LEAST_SILHOUETTE = 2000, 25, 0.10
+#: Models whose sums are added up together.
+CHUNK = 64
 
 
 @dataclass(frozen=True)
@@ -96,8 +98,8 @@ def fit_many(df: DataFrame, fits: list[Fit], starts: int = 1, iterations: int =
     """(centres, inertia) of each fit, the best of ``starts``; fits of a class without rows are left out."""
     df = settled(prepare(df))
     spark = df.sparkSession
-    order = Window.partitionBy("g").orderBy(hash_key(F.col("id")), "id")
-    sample = df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE).drop("place").orderBy("g", "id").toPandas()
+    drawn = Window.partitionBy("g").orderBy(hash_key(F.col("id")), "id")
+    sample = df.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= SAMPLE).drop("place").orderBy("g", "id").toPandas()
     held = {g: (ids, x) for g, ids, x in _split(sample)} if len(sample) else {}
     box = boxes(df) if any(f.view > 0 for f in fits) else {g: np.zeros((2, x.shape[1])) for g, (_, x) in held.items()}
     models: list[tuple[Fit, np.ndarray]] = []
@@ -113,33 +115,44 @@ def fit_many(df: DataFrame, fits: list[Fit], starts: int = 1, iterations: int =
         for m in live:
             by_class.setdefault(models[m][0].g, []).append((m, models[m][0].view, models[m][1]))
         shared = spark.sparkContext.broadcast((by_class, box))
+        order = sorted(live)
+        place, lengths = {m: i for i, m in enumerate(order)}, {m: models[m][1].size + 2 * len(models[m][1]) for m in order}
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame], shared=shared, order=order, place=place, lengths=lengths) -> Iterator[pd.DataFrame]:
             by_class, box = shared.value
             sums: dict[int, list] = {}
             for frame in frames:
                 for g, ids, x in _split(frame) if len(frame) else ():
+                    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
                     for m, view, centres in by_class.get(g, ()):
-                        y, w = _view(ids, x, view, box[g])
+                        if view not in seen:
+                            seen[view] = _view(ids, x, view, box[g])
+                        y, w = seen[view]
                         square = _square(y, centres)
                         best = square.argmin(axis=1)
                         one = np.zeros((len(centres), len(y)))
                         one[best, np.arange(len(y))] = w
                         new = one @ y, one.sum(axis=1), one @ square[np.arange(len(y)), best]
                         sums[m] = [a + b for a, b in zip(sums[m], new, strict=True)] if m in sums else list(new)
-            for m, (s, n, d2) in sums.items():
-                own = np.flatnonzero(n)
-                yield pd.DataFrame({"m": m, "c": own, "n": n[own], "d2": d2[own], "s": [r.tolist() for r in s[own]]})
-
-        parts = df.mapInPandas(run, "m int, c int, n double, d2 double, s array<double>")
-        # cells of partial sums meet by model and cluster, so each model's sums are added up away from the driver
-        added = parts.groupBy("m", "c").applyInPandas(_add, "m int, c int, n double, d2 double, s array<double>").toPandas()
+            for chunk in sorted({place[m] // CHUNK for m in sums}):
+                own = order[chunk * CHUNK : (chunk + 1) * CHUNK]
+                flat = [np.concatenate([np.ravel(x) for x in sums[m]]) if m in sums else np.zeros(lengths[m]) for m in own]
+                yield pd.DataFrame({"chunk": [chunk], "sums": [np.concatenate(flat).tobytes()]})
+
+        # sums of some models at a time meet and are added up away from the driver
+        parts = df.mapInPandas(run, "chunk int, sums binary")
+        added = parts.groupBy("chunk").applyInPandas(_add, "chunk int, sums binary").toPandas()
         moved = {m: models[m][1].copy() for m in live}
         for m in live:
             costs[m] = 0.0
-        for r in added.itertuples(index=False):
-            moved[r.m][r.c] = np.asarray(r.s) / r.n
-            costs[r.m] += r.d2
+        for chunk, flat in zip(added["chunk"], added["sums"], strict=True):
+            at, values = 0, np.frombuffer(flat)
+            for m in order[chunk * CHUNK : (chunk + 1) * CHUNK]:
+                k, d = models[m][1].shape
+                s, n, d2 = values[at : at + k * d].reshape(k, d), values[at + k * d : at + k * d + k], values[at + k * d + k : at + lengths[m]]
+                moved[m][n > 0] = s[n > 0] / n[n > 0, None]
+                costs[m] += d2.sum()
+                at += lengths[m]
         for m, centres in moved.items():
             if np.allclose(centres, models[m][1], rtol=0, atol=1e-7):
                 live = live - {m}
@@ -152,8 +165,7 @@ def fit_many(df: DataFrame, fits: list[Fit], starts: int = 1, iterations: int =
 
 
 def _add(frame: pd.DataFrame) -> pd.DataFrame:
-    s = np.sum([np.asarray(x) for x in frame["s"]], axis=0)
-    return pd.DataFrame({"m": [frame["m"].iloc[0]], "c": [frame["c"].iloc[0]], "n": [frame["n"].sum()], "d2": [frame["d2"].sum()], "s": [s.tolist()]})
+    return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "sums": [np.sum([np.frombuffer(s) for s in frame["sums"]], axis=0).tobytes()]})
 
 
 def labels_of(df: DataFrame, centres: dict[int, list[np.ndarray]]) -> DataFrame:

@@ -174,7 +174,7 @@ def _space(spark, sf_dir):
 
 @register("label_free_k")
 def label_free_k(spark, sf_dir):
-    chosen = clusterings.choose_k(_space(spark, sf_dir), k_max=6, references=3, starts=1)
+    chosen = clusterings.choose_k(_space(spark, sf_dir))
     kinds = rows(spark, sf_dir).groupBy(F.col("coarse").cast("long").alias("coarse")).agg(F.count_distinct("fine").alias("k_c"))
     found = spark.createDataFrame([(g, k, how) for g, (k, how) in sorted(chosen.items())], "coarse long, khat int, how string")
     return found.join(kinds, "coarse").select("coarse", "khat", "how", "k_c", (F.col("khat") - F.col("k_c")).alias("khat_error"))
@@ -185,17 +185,14 @@ def clustering_by_class(spark, sf_dir):
     """ACC, NMI and ARI of k-means with as many clusters as the class has fine classes, and how stable it is over seeds and resamples."""
     df, space = rows(spark, sf_dir), _space(spark, sf_dir)
     k_of = {r["coarse"]: r["k"] for r in df.groupBy("coarse").agg(F.count_distinct("fine").alias("k")).collect()}
-    labelled = clusterings.stability_labels(space, k_of, seeds=3, resamples=4, starts=2).join(df.select("id", "fine", "coarse"), "id")
+    labelled = settled(clusterings.stability_labels(space, k_of).join(df.select("id", "fine", "coarse"), "id"))
     at = lambda i: F.get("labels", F.lit(i))
-    wide = settled(labelled.select("coarse", "fine", *[at(i).alias(f"l{i}") for i in range(7)]))
-    out = metrics.agreement_by(wide, "coarse", "fine", "l0").select("coarse", "n", "ari", "nmi")
-    for name, pairs in (("ari_seeds", list(itertools.combinations(range(3), 2))), ("ari_boot", [(0, b) for b in range(3, 7)])):
-        runs = [metrics.agreement_by(wide, "coarse", f"l{a}", f"l{b}").select("coarse", F.col("ari").alias("x")) for a, b in pairs]
-        whole = runs[0]
-        for run in runs[1:]:
-            whole = whole.unionByName(run)
-        out = out.join(whole.groupBy("coarse").agg(F.avg("x").alias(name)), "coarse", "left")
-    return out
+    runs = [("ari_seeds", a, b) for a, b in itertools.combinations(range(3), 2)] + [("ari_boot", 0, b) for b in range(3, 23)]
+    both = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(i).alias("run"), at(a).alias("x"), at(b).alias("y")) for i, (name, a, b) in enumerate(runs)])
+    compared = labelled.select("coarse", F.explode(both).alias("p")).select(F.struct("coarse", "p.name", "p.run").alias("key"), "p.x", "p.y")
+    each = metrics.agreement_by(compared, "key", "x", "y").groupBy("key.coarse").pivot("key.name", ["ari_seeds", "ari_boot"]).agg(F.avg("ari"))
+    own = metrics.agreement_by(labelled.withColumn("c", at(0)), "coarse", "fine", "c").select("coarse", "n", "ari", "nmi")
+    return own.join(each, "coarse", "left")
 
 
 @register("knn_graph_weights", f"""WITH {_E}, {_top(5)}, S AS (SELECT a, sqrt(greatest(max(2 - 2 * sim), 0)) AS s FROM T GROUP BY a),
