@@ -126,8 +126,9 @@ def rank_both_ways(spark, sf_dir):
     return similarity.both_ways(side, 5)
 
 
-@register("rank_both_ways_by_class", f"""WITH {_E}, R AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM P WHERE ca = cb)
-SELECT x.ca AS coarse, x.a, x.b, x.rank AS rank_ab, y.rank AS rank_ba FROM R x JOIN R y ON x.a = y.b AND x.b = y.a WHERE x.rank <= 5 AND (x.rank < y.rank OR x.rank = y.rank AND x.a < x.b)""")
+@register("rank_both_ways_by_class", f"""WITH {_E}, C AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.coarse AS ca, list_cosine_similarity(a.v, b.v) AS sim FROM E a JOIN E b ON a.coarse = b.coarse AND a.id <> b.id),
+R AS MATERIALIZED (SELECT ca, a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM C), F AS (SELECT * FROM R WHERE rank <= 5)
+SELECT x.ca AS coarse, x.a, x.b, x.rank AS rank_ab, y.rank AS rank_ba FROM F x JOIN R y ON x.a = y.b AND x.b = y.a WHERE x.rank < y.rank OR x.rank = y.rank AND x.a < x.b""")
 def rank_both_ways_by_class(spark, sf_dir):
     df = rows(spark, sf_dir)
     found = similarity.both_ways(df.select("id", "v", F.col("coarse").alias("g")), 5)
