@@ -1,4 +1,10 @@
-"""A training-data pipeline over ``documents``: each stage calls one corpus operator and works on what the one before kept."""
+"""A training-data pipeline over ``documents``: each stage calls one corpus operator and works on what the one before kept.
+
+In every stage null texts are empty: the first rejects them, as no language can be told. Repeated rows are rows each, until
+the second keeps one of each group, the smallest doc_id and of equal rows one. Texts are read whole, however long. Ties are
+the operators': the first language by name, the smallest doc_id. Empty tables give empty results. Filtering stages hand on all columns
+of their input, whatever they are called; only doc_id, text, lang and n_chars are read.
+"""
 
 from __future__ import annotations
 
