@@ -26,3 +26,18 @@ def without_prefix(text: Column, prefixes: list[str]) -> Column:
 def cut_end(text: Column, n: int) -> Column:
     """The text without its last ``n`` characters."""
     return F.left(text, F.greatest(F.char_length(text) - n, F.lit(0)))
+
+
+#: Words are runs without these characters.
+BLANKS = "[\\x20\\x09-\\x0D]+"
+
+
+def shingles(text: Column, n: int) -> Column:
+    """Every n words in a row, joined by a space; all words where there are fewer, none where there are none."""
+    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
+
+    def cut(held: Column) -> Column:
+        rows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(held) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(held, i, n), " "))
+        return F.when(F.size(held) > 0, rows).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(words), cut)[0]

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.functions.text import shingles
+
 from .blocks import BLOCK, Side, block_pairs
 
 
@@ -123,6 +125,24 @@ def hamming_pairs(a: DataFrame, b: DataFrame, most: int, bits: int = 64) -> Data
     return banded(a, "a").join(banded(b, "b"), ["band", "value"]).select("a", "b", dist.alias("dist")).where(F.col("dist") <= most).distinct()
 
 
+def simhash(df: DataFrame, n: int = 2) -> DataFrame:
+    """(id, h long) of rows (id, text): bit i is set where more than half of the hashes of the text's n-word shingles, repeats included, have it set.
+
+    A hash is the first 64 bits of md5. Two counters share a 64-bit sum, so partitions add up 32 sums a text, however long
+    it is. Texts without words have no row.
+    """
+    digest = F.md5("shingle")
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    rows = df.select("id", F.explode(shingles(F.col("text"), n)).alias("shingle")).select("id", part(1).alias("high"), part(9).alias("low"))
+    bit = lambda c, j: F.shiftright(c, j).bitwiseAND(F.lit(1))
+    counts = rows.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(bit("low", j) + F.shiftleft(bit("high", j), 32)).alias(f"s{j}") for j in range(32)])
+    most = lambda c: F.when(2 * c > F.col("n"), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    h = F.lit(0).cast("long")
+    for j in range(32):
+        h = h.bitwiseOR(F.shiftleft(most(F.col(f"s{j}").bitwiseAND(F.lit(2**32 - 1))), j)).bitwiseOR(F.shiftleft(most(F.shiftright(f"s{j}", 32)), j + 32))
+    return counts.select("id", h.alias("h"))
+
+
 def recall_at(neighbours: DataFrame, labels: DataFrame, ks: list[int]) -> DataFrame:
     """(k, recall) from ranked neighbours: the share of rows with an equal label among their first k."""
     a, b = labels.select(F.col("id").alias("a"), F.col("y").alias("y_a")), labels.select(F.col("id").alias("b"), F.col("y").alias("y_b"))

@@ -254,3 +254,23 @@ def prototype_assignment(spark, sf_dir):
     means = parts.groupBy(F.col("fine").alias("assigned"), "coarse").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("c"))
     scored = df.join(means, "coarse").select("id", "fine", "assigned", F.round(cosine(F.col("v"), F.col("c")), 9).alias("sim"))
     return scored.groupBy("id", "fine").agg(F.max_by("assigned", F.struct("sim", -F.col("assigned"))).alias("assigned"))
+
+
+_SIMHASH = """W AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents), T AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w), 2)), lambda i: array_to_string(w[i : i + 1], ' '))) AS t FROM W WHERE len(w) > 0),
+D AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(t), 9, 8))::BIGINT AS lo FROM T), C AS (SELECT doc_id, j, 2 * sum((lo >> j) & 1) > count(*) AS l, 2 * sum((hi >> j) & 1) > count(*) AS h FROM D, range(32) b(j) GROUP BY ALL),
+H AS (SELECT doc_id AS id, sum(CASE WHEN l THEN 1::HUGEINT << j ELSE 0 END) AS lo, sum(CASE WHEN h THEN 1::HUGEINT << j ELSE 0 END) AS hi FROM (SELECT doc_id, j::INT AS j, l, h FROM C) GROUP BY doc_id)"""
+
+
+@register("text_simhash", f"WITH {_SIMHASH} SELECT id, (CASE WHEN hi >= 2147483648 THEN hi - 4294967296 ELSE hi END * 4294967296 + lo)::BIGINT AS h FROM H")
+def text_simhash(spark, sf_dir):
+    """A 64-bit fingerprint of each document's two-word shingles."""
+    return similarity.simhash(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@register("simhash_pairs", f"""WITH {_SIMHASH}, R AS (SELECT hi, lo, min(id) AS id, count(*) AS n FROM H GROUP BY ALL), P AS (SELECT a.id AS a, b.id AS b, (bit_count(xor(a.hi::BIGINT, b.hi::BIGINT)) + bit_count(xor(a.lo::BIGINT, b.lo::BIGINT)))::INT AS dist FROM R a JOIN R b ON a.id < b.id)
+SELECT * FROM P WHERE dist <= 4""")
+def simhash_pairs(spark, sf_dir):
+    """Fingerprints that differ in at most four bits, each by the smallest document that has it: copies are one fingerprint, so a group of them makes no pairs."""
+    hashed = similarity.simhash(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    first = hashed.groupBy("h").agg(F.min("id").alias("id"))
+    return similarity.hamming_pairs(first, first, 4).where("a < b")

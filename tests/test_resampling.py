@@ -1,5 +1,8 @@
 """The closure bootstrap, communities of planted graphs, and pair sums with vectors that are not finite."""
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -122,3 +125,16 @@ def test_ranks_of_ids_beyond_doubles(spark):
     rank = {i: {j: n + 1 for n, j in enumerate(sorted((j for j in range(4) if j != i), key=lambda j: -cos(i, j)))} for i in range(4)}  # noqa: B023
     asked = [(i, j) for i in range(4) for j in range(4) if i != j and rank[i][j] == 1]
     assert got == {(i, j): (1, rank[j][i]) for i, j in asked if rank[j][i] > 1 or i < j}
+
+
+def test_simhash_counts_bits(spark):
+    texts = [(1, "a b c"), (2, "a b c"), (3, "one"), (4, " \n "), (5, None), (6, ""), (7, "x y " * 3000), (8, "é 😀 é 😀")]
+    got = {r["id"]: r["h"] for r in similarity.simhash(spark.createDataFrame(texts, "id long, text string")).collect()}
+
+    def plain(text):
+        w = re.findall("[^\x20\x09-\x0d]+", text)
+        hashes = [int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in ([" ".join(w[i : i + 2]) for i in range(len(w) - 1)] or [" ".join(w)])]
+        h = sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in hashes) > len(hashes))
+        return h - 2**64 if h >= 2**63 else h
+
+    assert got == {i: plain(t) for i, t in texts if t and t.strip()}
