@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from strata.functions.sampling import hash_int
 from strata.functions.vectors import dot, unit
 
+from .prefix import totals_before
+
 
 def group_sums(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, s, q): rows, vector sum and sum of squared lengths of unit vectors ``u``, summed component by component on the map side."""
@@ -124,10 +126,10 @@ def prevalence_gap(df: DataFrame, dimension: DataFrame, key: str, side: Column)
 
 
 def choose_threshold(df: DataFrame, confidence: str, correct: str, target: float) -> DataFrame:
-    """One row, tau: the least confidence from which on the mean of ``correct`` reaches the target, else 1. Distinct confidences are summed before the window."""
+    """One row, tau: the least confidence from which on the mean of ``correct`` reaches the target, else 1. Distinct confidences are summed first, and their running totals carried over ranges."""
     sums = df.groupBy(confidence).agg(F.sum(F.col(correct).cast("int")).alias("good"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc(confidence)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = sums.withColumn("share", F.sum("good").over(down) / F.sum("n").over(down))
+    above = totals_before(sums, [F.desc(confidence)], ["good", "n"])
+    reached = above.withColumn("share", (F.col("good_before") + F.col("good")) / (F.col("n_before") + F.col("n")))
     return reached.where(F.col("share") >= target).agg(F.coalesce(F.min(confidence), F.lit(1.0)).alias("tau"))
 
 
@@ -139,10 +141,9 @@ def calibration_error(df: DataFrame, confidence: str, correct: str, bins: int =
 
 
 def auroc(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """One row, auroc, by average ranks; distinct scores are summed before the window."""
+    """One row, auroc, by average ranks; distinct scores are summed first, and their running totals carried over ranges."""
     sums = df.groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sums.withColumn("lower", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    ranked = totals_before(sums, [F.asc(score)], ["q"]).withColumn("lower", F.col("q_before"))
     return ranked.agg(F.try_divide(F.sum(F.col("p") * (F.col("lower") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auroc"))
 
 

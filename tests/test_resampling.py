@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from strata.operators import blocks, communities, resampling, sets, similarity
+from strata.operators.prefix import totals_before
 from strata.operators.resampling import Measure, draws_of, intervals, means_of
 
 
@@ -138,3 +139,11 @@ def test_simhash_counts_bits(spark):
         return h - 2**64 if h >= 2**63 else h
 
     assert got == {i: plain(t) for i, t in texts if t and t.strip()}
+
+
+def test_running_totals_over_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(x), int(n)) for x, n in zip(rng.permutation(5000) / 7, rng.integers(-5, 9, 5000), strict=True)]
+    got = totals_before(spark.createDataFrame(rows, "x double, n long").repartition(9), [F.desc("x")], ["n"]).toPandas().sort_values("x", ascending=False)
+    assert (got["n_before"].to_numpy() == np.cumsum(got["n"]).to_numpy() - got["n"].to_numpy()).all() and len(got) == 5000
+    assert totals_before(spark.createDataFrame([], "x double, n long"), [F.asc("x")], ["n"]).count() == 0
