@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import communities, losses, metrics, resampling, similarity
+from strata.operators import communities, losses, resampling, similarity
 from strata.operators.durable import settled
 from strata.operators.resampling import draws_sql
 
@@ -40,16 +40,6 @@ def modularity_by_class(spark, sf_dir):
     return communities.modularity(settled(_graph(spark, sf_dir, 5)), labels).select(F.col("g").cast("int").alias("coarse"), F.round("q", 6).alias("q"))
 
 
-@register("leiden_by_class")
-def leiden_by_class(spark, sf_dir):
-    """Communities of the neighbour graph of each coarse class, their modularity, and how they agree with its fine classes."""
-    edges = settled(_graph(spark, sf_dir, 15))
-    found = settled(communities.leiden(edges, edges.select("g").distinct().withColumn("resolution", F.lit(1.0))))
-    labelled = found.join(rows(spark, sf_dir).select("id", "fine"), "id")
-    counts = found.groupBy("g").agg(F.count_distinct("c").alias("communities"))
-    return metrics.agreement_by(labelled, "g", "fine", "c").join(counts, "g").join(communities.modularity(edges, found), "g").select(F.col("g").alias("coarse"), "n", "communities", "q", "ari", "nmi")
-
-
 _NORMAL = """A AS (SELECT {g}, s, list_inner_product(v, d) AS x FROM {rows}, D), C AS (SELECT {g}, s, k, count(*) AS n, avg(cos(x * (k * 0.625 - 5))) AS c, avg(sin(x * (k * 0.625 - 5))) AS i FROM A, range(17) p(k) GROUP BY ALL),
 S AS (SELECT {g}, s, max(n) AS n, max(n) * sum((pow(c - exp(-pow(k * 0.625 - 5, 2) / 2), 2) + i * i) * exp(-pow(k * 0.625 - 5, 2) / 2) * CASE WHEN k IN (0, 16) THEN 0.3125 ELSE 0.625 END) AS x FROM C GROUP BY ALL), N AS (SELECT {g}, max(n) AS n, avg(x) AS sigreg FROM S GROUP BY {g})"""
 
