@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strata.functions.sampling import hash_key
 
+from .prefix import totals_before
+
 
 def hierarchy(df: DataFrame, coarse: str, fine: str) -> DataFrame:
     """One row per fine label: its coarse label, rows, and the number of fine labels of the coarse one."""
@@ -21,10 +23,10 @@ def subclass_table(df: DataFrame, coarse: str, fine: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, id_column: str, stratum: str, share: float, seed: int, names: tuple[str, str]) -> DataFrame:
     """(id, stratum, split): in each stratum the first round-half-even(share * n) rows in hash order get the first name."""
-    order = Window.partitionBy(stratum).orderBy(hash_key(F.lit(seed), F.col(id_column)), id_column)
-    ranked = df.select(id_column, stratum, F.row_number().over(order).alias("place"))
-    sizes = df.groupBy(stratum).agg(F.bround(F.count("*") * F.lit(share)).cast("long").alias("taken"))
-    return ranked.join(sizes, stratum).select(id_column, stratum, F.when(F.col("place") <= F.col("taken"), names[0]).otherwise(names[1]).alias("split"))
+    keyed = df.where(F.col(stratum).isNotNull()).select(id_column, stratum, hash_key(F.lit(seed), F.col(id_column)).alias("key"), F.lit(1).cast("long").alias("place"))
+    ranked = totals_before(keyed, [F.col(stratum), F.col("key"), F.col(id_column)], ["place"])  # strata stand one after another, so no task holds one
+    sizes = ranked.groupBy(stratum).agg(F.bround(F.count("*") * F.lit(share)).cast("long").alias("taken"), F.min("place_before").alias("start"))
+    return ranked.join(sizes, stratum).select(id_column, stratum, F.when(F.col("place_before") - F.col("start") < F.col("taken"), names[0]).otherwise(names[1]).alias("split"))
 
 
 def conflicting(df: DataFrame, id_column: str, digest: Column, label: str) -> DataFrame:
