@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from strata.functions.vectors import cosine, unit
-from strata.operators import clustering, clusterings, metrics, similarity, spectra
+from strata.operators import clustering, clusterings, metrics, nuisance, similarity, spectra
 from strata.operators.durable import settled
 
 from .embedding_queries import _E, _TRAIN, _top, rows, unit_rows
@@ -206,3 +206,21 @@ def knn_graph_weights(spark, sf_dir):
 def explained_by_covariates(spark, sf_dir):
     df = rows(spark, sf_dir).select("id", F.col("coarse").alias("g"), "v", F.get("v", F.lit(0)).cast("double").alias("c0"), F.get("v", F.lit(1)).cast("double").alias("c1"))
     return spectra.explained_share(df, ["c0", "c1"])
+
+
+@register("shuffled_within_class", f"""WITH {_E}, A AS (SELECT id, coarse, row_number() OVER (PARTITION BY coarse ORDER BY md5('0:to:' || id), id) AS p FROM E), B AS (SELECT id, coarse, row_number() OVER (PARTITION BY coarse ORDER BY md5('0:from:' || id), id) AS p FROM E)
+SELECT A.id, A.coarse, B.id AS taken FROM A JOIN B USING (coarse, p)""")
+def shuffled_within_class(spark, sf_dir):
+    """Which row of its coarse class each row takes its covariates from in the shuffled control."""
+    df = rows(spark, sf_dir).select("id", F.col("coarse").alias("g"), F.col("id").alias("taken"))
+    return nuisance.shuffled(df, ["taken"]).select("id", F.col("g").alias("coarse"), "taken")
+
+
+@register("nuisance_summary")
+def nuisance_summary(spark, sf_dir):
+    """The shares of a class's components that two of its own coordinates and two that say nothing tell, with the shuffled control, averaged over coarse classes."""
+    told = [F.get("v", F.lit(i)).cast("double").alias(f"c{i}") for i in range(2)]
+    noise = [(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000.0).alias(f"x{i}") for i in range(2)]
+    df = rows(spark, sf_dir).select("id", F.col("coarse").alias("g"), "v", *told, *noise)
+    found = nuisance.table(df, {"told": ["c0", "c1"], "noise": ["x0", "x1"]}, control="told")
+    return nuisance.summary(found).select("metric", *_six("mean", "lo", "hi"), "n", "band")

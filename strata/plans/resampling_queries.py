@@ -1,10 +1,10 @@
-"""Registered queries of resampled measures, of communities of the neighbour graph, and of how normal embeddings are."""
+"""Registered queries of resampled measures, of communities and diffusion maps of the neighbour graph, and of how normal embeddings are."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import communities, losses, resampling, similarity
+from strata.operators import communities, diffusion, losses, resampling, similarity
 from strata.operators.durable import settled
 from strata.operators.resampling import draws_sql
 
@@ -40,6 +40,12 @@ def modularity_by_class(spark, sf_dir):
     return communities.modularity(settled(_graph(spark, sf_dir, 5)), labels).select(F.col("g").cast("int").alias("coarse"), F.round("q", 6).alias("q"))
 
 
+@register("diffusion_clusters")
+def diffusion_clusters(spark, sf_dir):
+    """Clusters of each coarse class on the diffusion map of its neighbour graph, as many as its greatest eigengap says."""
+    return diffusion.clusters(_graph(spark, sf_dir, 15)).select("id", F.col("g").cast("int").alias("coarse"), "k", F.col("c").alias("cluster"))
+
+
 _NORMAL = """A AS (SELECT {g}, s, list_inner_product(v, d) AS x FROM {rows}, D), C AS (SELECT {g}, s, k, count(*) AS n, avg(cos(x * (k * 0.625 - 5))) AS c, avg(sin(x * (k * 0.625 - 5))) AS i FROM A, range(17) p(k) GROUP BY ALL),
 S AS (SELECT {g}, s, max(n) AS n, max(n) * sum((pow(c - exp(-pow(k * 0.625 - 5, 2) / 2), 2) + i * i) * exp(-pow(k * 0.625 - 5, 2) / 2) * CASE WHEN k IN (0, 16) THEN 0.3125 ELSE 0.625 END) AS x FROM C GROUP BY ALL), N AS (SELECT {g}, max(n) AS n, avg(x) AS sigreg FROM S GROUP BY {g})"""
 
