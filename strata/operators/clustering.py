@@ -132,7 +132,8 @@ def k_means(df: DataFrame, k: int, seed: int = 0, starts: int = 1, iterations: i
                     np.add.at(inertia, best, square)
                     n += np.bincount(best, minlength=len(n))
             own = np.flatnonzero(n)
-            yield pd.DataFrame({"c": own, "n": n[own], "d2": inertia[own], "s": [s.tolist() for s in sums[own]]})
+            if len(own):  # a partition without rows has no sums, and Arrow makes no list column of none
+                yield pd.DataFrame({"c": own, "n": n[own], "d2": inertia[own], "s": [s.tolist() for s in sums[own]]})
 
         parts = df.mapInPandas(run, "c int, n long, d2 double, s array<double>")
         totals = parts.groupBy("c").agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"))

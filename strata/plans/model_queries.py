@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.operators import clustering, sets
+from strata.operators.blocks import complete
 
 from .embedding_queries import rows
 from .registry import register
@@ -19,7 +20,7 @@ def frechet_halves(spark, sf_dir):
 def _clusters(spark, sf_dir):
     side = rows(spark, sf_dir)
     centres, _ = clustering.k_means(side, 4)
-    return side.select("id", "coarse").join(clustering.predict(side.where("v IS NOT NULL"), centres).select("id", "c"), "id")
+    return side.select("id", "coarse").join(clustering.predict(complete(side), centres).select("id", "c"), "id")
 
 
 @register("k_means_labels")

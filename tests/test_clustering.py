@@ -78,3 +78,13 @@ def test_codecs(spark, tmp_path):
     assert sorted(r["id"] for r in files.read_ids(spark, f"{tmp_path}/i").collect()) == ["a,b", "c"]
     files.write_json(df, f"{tmp_path}/j")
     assert sorted(files.read_json(spark, f"{tmp_path}/j", df.schema).collect()) == sorted(df.collect())
+
+
+def test_k_means_of_partitions_without_rows(spark):
+    rows = [(i, [float(i % 2 * 10 + i), 1.0]) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(40)
+    centres, inertia = clustering.k_means(df, 2, iterations=5)
+    c = {r["id"]: r["c"] for r in clustering.predict(df, centres).collect()}
+    x = np.array([v for _, v in rows])
+    own = np.array([c[i] for i in range(6)])
+    assert inertia == pytest.approx(sum(((x[own == k] - x[own == k].mean(axis=0)) ** 2).sum() for k in set(own)))
