@@ -186,7 +186,7 @@ def failure_controls(spark, sf_dir):
 @register("closest_pairs", f"WITH {_E} SELECT a, b, round(sim, 6) AS sim FROM P WHERE a < b ORDER BY P.sim DESC, a, b LIMIT 25")
 def closest_pairs(spark, sf_dir):
     side = rows(spark, sf_dir).select("id", "v")
-    return similarity.top_k(side, side, 25).where("a < b").orderBy(F.desc("sim"), "a", "b").limit(25).select("a", "b", F.round("sim", 6).alias("sim"))
+    return similarity.closest(side, 25).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @register("neighbour_ranks", f"WITH {_E} SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b)::INT AS rank FROM P WHERE fa = fb")

@@ -1,8 +1,9 @@
 """Pair queries over all classes, and ranks without a bound on the list."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
-from strata.operators import similarity
+from strata.operators import blocks, similarity
 from strata.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,21 @@ def test_every_class_has_its_rows(spark):
     assert z.drop("coarse").exceptAll(registry.queries()["pair_zscore"](spark, SF)).count() == 0
     whole = registry.queries()["pair_auroc"](spark, SF).first()["auroc"]
     assert registry.queries()["pair_auroc_by_class"](spark, SF).where(F.col("coarse") == 2).first()["auroc"] == whole
+
+
+def test_a_block_keeps_its_best_of_all_blocks_of_a_bucket(spark):
+    rng = np.random.default_rng(3)
+    vecs = np.round(rng.normal(size=(90, 3)), 1)
+    vecs[50:60], vecs[7] = vecs[4], 0
+    with np.errstate(invalid="ignore"):
+        u = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 12)
+    side = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vecs)], "id long, v array<double>").repartition(2)
+    expected = sorted((i, j, r + 1) for i in range(90) if i != 7 for r, j in enumerate(sorted((j for j in range(90) if j not in (i, 7)), key=lambda j: (-sims[i, j], j))[:4]))
+    for block in (5, 1000):
+        assert sorted(map(tuple, similarity.top_k(side, side, 4, block).select("a", "b", "rank").collect())) == expected
+        found = similarity.closest(side, 30, block).collect()
+        assert [(r["a"], r["b"]) for r in found] == sorted(((i, j) for i in range(90) for j in range(i + 1, 90) if 7 not in (i, j)), key=lambda p: (-sims[p], p))[:30]
+    count = lambda own, others: [pd.DataFrame({"n": [len(own.ids) * sum(len(o.ids) for o in others)], "runs": [1]})]
+    met = blocks.block_runs(side, side, count, "n long, runs long", block=5).agg(F.sum("n"), F.sum("runs")).first()
+    assert met[0] == 90 * 90 and met[1] < 18 * 18  # blocks meet in runs, not one by one
