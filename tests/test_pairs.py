@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from strata.operators import blocks, similarity
 from strata.plans import registry
@@ -47,3 +48,30 @@ def test_a_block_keeps_its_best_of_all_blocks_of_a_bucket(spark):
     count = lambda own, others: [pd.DataFrame({"n": [len(own.ids) * sum(len(o.ids) for o in others)], "runs": [1]})]
     met = blocks.block_runs(side, side, count, "n long, runs long", block=5).agg(F.sum("n"), F.sum("runs")).first()
     assert met[0] == 90 * 90 and met[1] < 18 * 18  # blocks meet in runs, not one by one
+
+
+def test_all_pairs_of_a_class_without_moving_them(spark):
+    rng = np.random.default_rng(5)
+    vecs, group, label = np.round(rng.normal(size=(50, 3)), 1), rng.integers(0, 2, 50), rng.integers(0, 2, 50)
+    vecs[20:24] = vecs[3]
+    u = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 12)
+    side = spark.createDataFrame([(i, list(map(float, vecs[i])), int(group[i]), int(label[i])) for i in range(50)], "id long, v array<double>, g long, y int")
+    pairs = {g: [(i, j) for i in range(50) for j in range(50) if i != j and group[i] == group[j] == g] for g in (0, 1)}
+    place = {(i, j): r + 1 for i in range(50) for r, j in enumerate(sorted((j for j in range(50) if j != i and group[j] == group[i]), key=lambda j: (-sims[i, j], j)))}
+    for block in (4, 1000):
+        assert {(r["a"], r["b"]): r["rank"] for r in similarity.all_ranks(side.drop("y"), block).collect()} == place
+        scores = {(r["a"], r["b"]): r["z"] for r in similarity.pair_scores(side.drop("y"), block).collect()}
+        areas = {r["g"]: r["auroc"] for r in similarity.pair_auroc(side, "y", block).collect()}
+        for g, own in pairs.items():
+            x = np.array([sims[p] for p in own])
+            assert np.allclose([scores.pop(p) for p in own], (x - x.mean()) / x.std(), atol=1e-9)
+            half = [(round(sims[p], 9), label[p[0]] == label[p[1]]) for p in own if p[0] < p[1]]
+            yes, no = np.array([s for s, same in half if same]), np.array([s for s, same in half if not same])
+            assert areas[g] == pytest.approx(((yes[:, None] > no) + (yes[:, None] == no) / 2).mean(), abs=1e-12)
+        assert not scores
+
+
+def test_identity_precision_covers_every_class(spark):
+    found = {r["coarse"]: (r["precision"], r["chance"]) for r in registry.queries()["identity_precision"](spark, SF).collect()}
+    assert set(found) == {0, 1, 2, 3} and found[0] == (1.0, 1.0)
