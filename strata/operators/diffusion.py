@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import clusterings
 from .clusterings import K_MAX, Fit
-from .durable import settled
+from .durable import forget, settled
 
 #: Vectors kept beyond those asked for, products in a round, the residual that is enough, and the most rounds.
 SPARE, DEGREE, RESIDUAL, ROUNDS = 10, 10, 1e-6, 60
@@ -64,7 +64,11 @@ def _filtered(links: DataFrame, state: DataFrame, cuts: dict[int, float], width:
     scales = links.sparkSession.createDataFrame(spans, "g long, middle double, half double")
     round_links = settled(links.join(scales, "g").select("g", "a", "b", "own", (2 * (F.col("w") - F.col("own") * F.col("middle")) / F.col("half")).alias("c")))
     for step in range(DEGREE):
-        state = settled(_step(round_links, state, "c", "q", width, step > 0, 1.0 if step else 0.5))  # a deep plan of so many columns takes longer to plan than to run
+        before = state
+        state = settled(_step(round_links, before, "c", "q", width, step > 0, 1.0 if step else 0.5))  # a deep plan of so many columns takes longer to plan than to run
+        if step:
+            forget(before)
+    forget(round_links)
     return state.select("g", "v", *_names("y", width))
 
 
@@ -127,9 +131,12 @@ def spectrum(edges: DataFrame, size: int) -> Spectrum:
     links, roots = _links(edges)
     sizes = {int(r["g"]): int(r["n"]) for r in roots.groupBy("g").agg(F.count("*").alias("n")).collect()}  # one row a graph
     drawn = [(F.xxhash64("g", "v", F.lit(i)) / F.lit(float(2**63))).alias(y) for i, y in enumerate(_names("y", width))]
-    state, cuts, values, ended = roots.select("g", "v", *drawn), None, {}, []
+    state, cuts, values, ended, spent = roots.select("g", "v", *drawn), None, {}, [], None
     for _ in range(ROUNDS):
-        state = state if cuts is None else _filtered(links, state, cuts, width)
+        if cuts is not None:
+            state = _filtered(links, state, cuts, width)
+            if spent is not None:
+                forget(spent)
         moved = _step(links, state, "w", "q", width, False)
         renamed = moved.select("g", "v", *[F.col(f"q{i}").alias(f"y{i}") for i in range(width)], *[F.col(f"y{i}").alias(f"z{i}") for i in range(width)])
         now = settled(renamed)
@@ -137,6 +144,7 @@ def spectrum(edges: DataFrame, size: int) -> Spectrum:
         state = _turned(now, {g: turn for g, (_, turn, _) in found.items()}, width)
         done = [g for g, (_, _, r) in found.items() if (r[:size] <= RESIDUAL).all() or len(r) >= sizes[g]]
         values |= {g: found[g][0][: min(size, sizes[g])] for g in done}
+        spent = None if done else now  # the next round's first step is the last to read it
         if done:  # a graph that has ended is filtered no more
             ended.append(state.where(F.col("g").isin(done)))
             state = state.where(~F.col("g").isin(done))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -18,3 +19,14 @@ def settled(df: DataFrame) -> DataFrame:
             found = f"file://{tempfile.mkdtemp(prefix='strata-')}"
         spark.sparkContext.setCheckpointDir(found)
     return df.checkpoint()
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``settled`` table that nothing will read again, and let Spark clear the shuffle files of plans that are no longer held."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -1,5 +1,7 @@
 """Diffusion maps against numpy."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +74,15 @@ def test_clusters_follow_the_groups(found):
 def test_no_edges_give_no_rows(spark):
     assert diffusion.clusters(spark.createDataFrame([], SCHEMA)).count() == 0
     assert diffusion.clusters(spark.createDataFrame([(0, 1, 2, 0.0), (0, 2, 1, 0.0)], SCHEMA), {0: 2}).agg(F.count("*")).first()[0] == 0
+
+
+def test_steps_that_nothing_reads_again_leave_no_files(spark):
+    from urllib.parse import urlparse
+
+    from strata.operators.durable import forget, settled
+
+    held = settled(spark.range(10).repartition(3))
+    path = urlparse(held._jdf.queryExecution().logical().rdd().getCheckpointFile().get()).path
+    assert os.path.isdir(path) and held.count() == 10
+    forget(held)
+    assert not os.path.exists(path)
