@@ -27,11 +27,15 @@ def supervised_contrastive(df: DataFrame, temperature: float = 0.1) -> DataFrame
     """One row, loss: the mean over rows (id, v, y) with a partner of their label of -mean over partners of log softmax(cosine / temperature) over all others."""
 
     def part(own: Side, other: Side) -> pd.DataFrame:
-        z = _units(own.v) @ _units(other.v).T / temperature
-        other_row = own.ids[:, None] != other.ids[None, :]
-        same = other_row & (own.x[:, 0][:, None] == other.x[:, 0][None, :])
-        # cosines are at most one, so no power is above that of the temperature's inverse
-        return pd.DataFrame({"id": own.ids, "e": np.where(other_row, np.exp(z - 1 / temperature), 0).sum(axis=1), "p": np.where(same, z, 0).sum(axis=1), "n": same.sum(axis=1)})
+        u, w, out = _units(own.v), _units(other.v), []
+        for low in range(0, len(u), 256):  # few tables of a block's pairs at a time
+            ids, y = own.ids[low : low + 256], own.x[low : low + 256, 0]
+            z = u[low : low + 256] @ w.T / temperature
+            other_row = ids[:, None] != other.ids[None, :]
+            same = other_row & (y[:, None] == other.x[:, 0][None, :])
+            # cosines are at most one, so no power is above that of the temperature's inverse
+            out.append(pd.DataFrame({"id": ids, "e": np.where(other_row, np.exp(z - 1 / temperature), 0).sum(axis=1), "p": np.where(same, z, 0).sum(axis=1), "n": same.sum(axis=1)}))
+        return pd.concat(out)
 
     sums = block_pairs(df, df, part, "id long, e double, p double, n long", (["y"], ["y"])).groupBy("id").agg(F.sum("e").alias("e"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.where("n > 0").agg(F.avg(F.ln("e") + 1 / temperature - F.col("p") / F.col("n")).alias("loss"))
