@@ -162,7 +162,9 @@ def bootstrap(df: DataFrame, group: str, id_column: str, value: str, draws: int,
 
     Draw ``pos`` of resample ``b`` in a group of n rows is row hash(seed:b:group:pos) mod n in id order.
     """
-    placed = df.select(group, value, (F.row_number().over(Window.partitionBy(group).orderBy(id_column)) - 1).alias("pos"))
+    ordered = totals_before(df.where(F.col(group).isNotNull()).select(group, id_column, value, F.lit(1).cast("long").alias("one")), [F.asc(group), F.asc(id_column)], ["one"])
+    begins = ordered.groupBy(group).agg(F.min("one_before").alias("begin"))
+    placed = ordered.join(F.broadcast(begins), group).select(group, value, (F.col("one_before") - F.col("begin")).cast("int").alias("pos"))  # one row a group
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
     drawn = placed.select(group, "pos").join(sizes, group).select(group, "size", "pos", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     drawn = drawn.select(group, "b", (hash_int(F.lit(seed), F.col("b"), F.col(group), F.col("pos")) % F.col("size")).alias("pos"))
