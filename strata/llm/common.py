@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -50,6 +51,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again, and let Spark clear the shuffle files of plans that are no longer held."""
+    jvm = spark.sparkContext._jvm
+    for path in {file.rpartition("/")[0] for table in tables for file in table.inputFiles()}:
+        found = jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def drop_written(spark: SparkSession) -> None:
     """Delete every table this process has materialized; results read from them are then gone."""
     jvm = spark.sparkContext._jvm

@@ -16,6 +16,10 @@ agree around it. About one position in 137 is an anchor. An anchor's region is a
    by 128-bit hashes and counted instead: cells of neighbouring windows first, and windows one by one only where
    cells differ but share what all their windows share. Nothing is capped.
 
+The same steps find passages over words: a text is then eight bytes a word, a hash of it, and offsets are counted in words.
+There a passage counts only if another document has it too, so each class carries its owner, the one document that has
+it, and what only one owner's classes share is left out. Rows alike in doc_id and text are one document here.
+
 Null texts are empty; empty texts and texts under ``length`` bytes keep everything. Repeated rows are copies of each
 other, so all of their windows repeat. Empty tables give empty results. Other columns are ignored.
 """
@@ -23,6 +27,7 @@ other, so all of their windows repeat. Empty tables give empty results. Other co
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +39,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, KMER = 400, 128
+#: Words of a passage, and of its k-mers; a word's place takes WORD bytes.
+WORDS, WORD_KMER, WORD = 51, 8, 8
 #: Classes of one k-mer that one task may sort.
 SPLIT = 256
 #: Bytes of a text that are searched for anchors at a time.
@@ -43,6 +50,7 @@ STEP = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U64 = np.uint64
 _POWERS: list[np.ndarray] = []
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +72,28 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:n], before[w - 1 : w - 1 + n])
 
 
+def hashed_words(text: bytes) -> bytes:
+    """WORD bytes for each word of a text, its hash; words are maximal runs without space, tab, LF, VT, FF, CR."""
+    parts, low = [], 0
+    while low < len(text):
+        found = _SPACE.search(text, low + SLICE)
+        high = found.start() if found else len(text)
+        parts.append(np.array(list(map(xxhash.xxh3_64_intdigest, text[low:high].split())), dtype=_U64).tobytes())
+        low = high
+    return b"".join(parts)
+
+
 def anchors(text: bytes, length: int, k: int) -> Iterator[tuple[int, int, int, int]]:
     """(position, first window, last window, k-mer hash) of each anchor; every window of ``length`` bytes has one."""
-    for low in range(0, max(0, len(text) - length + 1), SLICE):
-        part = np.frombuffer(text, np.uint8, min(len(text) - low, SLICE + length - 1), low)
+    for arrays in _anchors(text, length, k, 1):
+        yield from zip(*(a.tolist() for a in arrays), strict=True)
+
+
+def _anchors(text: bytes, length: int, k: int, unit: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """What ``anchors`` gives, in units of one byte or of WORD, as arrays of a slice."""
+    units = np.frombuffer(text, np.uint8 if unit == 1 else _U64)
+    for low in range(0, max(0, len(units) - length + 1), SLICE):
+        part = units[low : low + SLICE + length - 1]
         power, inverse = _powers(len(part))
         sums = np.concatenate([np.zeros(1, _U64), np.cumsum((part.astype(_U64) + _U64(1)) * power[: len(part)], dtype=_U64)])
         hashes = (sums[k:] - sums[:-k]) * inverse[: len(part) - k + 1]
@@ -79,7 +105,7 @@ def anchors(text: bytes, length: int, k: int) -> Iterator[tuple[int, int, int, i
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
         chosen = at[first]
-        yield from zip((chosen + low).tolist(), (first + low).tolist(), (last + low).tolist(), hashes[chosen].view(np.int64).tolist(), strict=True)
+        yield chosen + low, first + low, last + low, hashes[chosen].view(np.int64)
 
 
 _OCCURRENCE = [("kmer", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("d_low", pa.int32()), ("d_high", pa.int32())]
@@ -89,19 +115,24 @@ def _halves(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _found(length: int, k: int):
+def _found(length: int, k: int, unit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            digests, parts = [], []
             for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if text is None or len(text) < length:
                     continue
-                for at, first, last, kmer in anchors(text, length, k):
-                    seed = (at - last) * length + at - first
-                    r1, r2 = _halves(xxhash.xxh3_128_digest(text[first : last + length], seed))
-                    rows.append((kmer, r1, r2, key, at, at - last, at - first))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _OCCURRENCE, strict=True)], [n for n, _ in _OCCURRENCE])
+                text = hashed_words(text) if unit > 1 else text
+                for at, first, last, kmer in _anchors(text, length, k, unit):
+                    low, high = at - last, at - first
+                    ends = zip((first * unit).tolist(), ((last + length) * unit).tolist(), (low * length + high).tolist(), strict=True)
+                    digests += [xxhash.xxh3_128_digest(text[a:b], seed) for a, b, seed in ends]
+                    parts.append((kmer, np.full(len(at), key), at, low, high))
+            if digests:
+                r = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                kmers, keys, ats, lows, highs = (np.concatenate(c) for c in zip(*parts, strict=True))
+                columns = (kmers, r[:, 0].copy(), r[:, 1].copy(), keys, ats, lows, highs)
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, (_, t) in zip(columns, _OCCURRENCE, strict=True)], [n for n, _ in _OCCURRENCE])
 
     return run
 
@@ -212,14 +243,16 @@ def _pair_shares(order: list[int], shares: list[int], index: dict[int, int]) ->
     return table[np.ix_(place, place)]
 
 
-def repeated_windows(right: list[bytes], left: list[bytes], own: list[int], depth: int, length: int) -> list[np.ndarray]:
-    """For each of ``own``: a flag for every offset 0..length of the anchor in a window, set where another has the same window."""
+def repeated_windows(right: list[bytes], left: list[bytes], own: list[int], depth: int, length: int, unit: int, owners: list[int | None]) -> list[np.ndarray]:
+    """For each of ``own``: a flag for every offset 0..length of the anchor in a window, set where one of another owner has the same window; without an owner, any other."""
     index = {i: j for j, i in enumerate(own)}
-    after = _pair_shares(*blind_sort(right, own, depth), index)
-    before = _pair_shares(*blind_sort(left, own, 0), index)
+    after = _pair_shares(*blind_sort(right, own, depth), index) // unit
+    before = _pair_shares(*blind_sort(left, own, 0), index) // unit
     low, high = np.maximum(0, length - after), np.minimum(length, before)
     marks = np.zeros((len(own), length + 2), dtype=np.int64)
-    hit = low <= high
+    owner = np.array([owners[i] or 0 for i in own], dtype=np.int64)
+    shared = np.array([owners[i] is None for i in own])
+    hit = (low <= high) & ((owner[:, None] != owner) | shared[:, None] | shared)
     np.fill_diagonal(hit, False)
     i, j = np.nonzero(hit)
     np.add.at(marks, (i, low[i, j]), 1)
@@ -236,16 +269,17 @@ _RANGES = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 _SORTED = 8192
 
 
-def _sorted(length: int, k: int):
+def _sorted(length: int, k: int, unit: int):
     """Regions, those of a k-mer in a row, to the ranges of offsets at which their windows repeat."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch | None:
-        right = [r["region"][r["d_high"] :] for r in rows]
-        left = [r["region"][: r["d_high"]][::-1] for r in rows]
+        right = [r["region"][r["d_high"] * unit :] for r in rows]
+        left = [r["region"][: r["d_high"] * unit][::-1] for r in rows]
+        owners = [r["owner"] for r in rows]
         out = []
-        for own in shallow_sort(right, k):
+        for own in shallow_sort(right, k * unit):
             if len(own) > 1:
-                for i, flags in zip(own, repeated_windows(right, left, own, k, length), strict=True):
+                for i, flags in zip(own, repeated_windows(right, left, own, k * unit, length, unit, owners), strict=True):
                     r = rows[i]
                     if runs := _runs(flags[r["d_low"] : r["d_high"] + 1], r["d_low"]):
                         out.append((r["r1"], r["r2"], runs))
@@ -273,22 +307,26 @@ def _sorted(length: int, k: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, wanted in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
-            for w in wanted:
-                rows.append((w["kmer"], w["r1"], w["r2"], w["d_low"], w["d_high"], w["hot"], text[w["at"] - w["d_high"] : w["at"] - w["d_low"] + w["length"]]))
-        if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kmer", "r1", "r2", "d_low", "d_high", "hot", "region"])
+def _cut(length: int, unit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, wanted in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
+                text = hashed_words(text) if unit > 1 else text
+                for w in wanted:
+                    rows.append((w["kmer"], w["r1"], w["r2"], w["owner"], w["d_low"], w["d_high"], w["hot"], text[(w["at"] - w["d_high"]) * unit : (w["at"] - w["d_low"] + length) * unit]))
+            if rows:
+                kinds = (*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kmer", "r1", "r2", "owner", "d_low", "d_high", "hot", "region"])
+
+    return run
 
 
 #: Offsets whose windows are dealt out together.
 CELL = 16
 
 
-def _cells(length: int):
+def _cells(length: int, unit: int):
     """Regions to cells of CELL offsets: hashes of the bytes that all the cell's windows share (core) and of all their bytes (span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,16 +336,16 @@ def _cells(length: int):
                 region, at = r["region"], r["d_high"]
                 for j in range(r["d_low"] // CELL, r["d_high"] // CELL + 1):
                     low, high = max(r["d_low"], j * CELL), min(r["d_high"], j * CELL + CELL - 1)
-                    core = region[at - j * CELL : at + length - j * CELL - CELL + 1]
-                    span = region[at - high : at - low + length]
-                    rows.append((*_halves(xxhash.xxh3_128_digest(core, j)), *_halves(xxhash.xxh3_128_digest(span, low * length + high)), r["r1"], r["r2"], low, high))
+                    core = region[(at - j * CELL) * unit : (at + length - j * CELL - CELL + 1) * unit]
+                    span = region[(at - high) * unit : (at - low + length) * unit]
+                    rows.append((*_halves(xxhash.xxh3_128_digest(core, j)), *_halves(xxhash.xxh3_128_digest(span, low * length + high)), r["r1"], r["r2"], r["owner"], low, high))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 6, *[pa.int32()] * 2), strict=True)], ["c1", "c2", "s1", "s2", "r1", "r2", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 7, *[pa.int32()] * 2), strict=True)], ["c1", "c2", "s1", "s2", "r1", "r2", "owner", "low", "high"])
 
     return run
 
 
-def _windows(length: int):
+def _windows(length: int, unit: int):
     """Regions, each with the cells wanted of it, to the hashes of those cells' windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,30 +355,41 @@ def _windows(length: int):
                 for cell in r["cells"]:
                     for d in range(cell["low"], cell["high"] + 1):
                         start = r["d_high"] - d
-                        rows.append((*_halves(xxhash.xxh3_128_digest(r["region"][start : start + length], d)), cell["s1"], cell["s2"], d))
+                        rows.append((*_halves(xxhash.xxh3_128_digest(r["region"][start * unit : (start + length) * unit], d)), cell["s1"], cell["s2"], cell["least"], cell["most"], d))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.int32()), strict=True)], ["w1", "w2", "s1", "s2", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 6, pa.int32()), strict=True)], ["w1", "w2", "s1", "s2", "least", "most", "d"])
 
     return run
 
 
-def _dealt(hot: DataFrame, length: int) -> DataFrame:
-    """(r1, r2, low, high): offsets at which windows of the hot k-mers' regions repeat.
+def _dealt(hot: DataFrame, length: int, unit: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(r1, r2, low, high): offsets at which windows of the hot k-mers' regions repeat; and the tables that this reads.
 
-    A span met twice repeats as a whole. Windows are hashed one by one only where different spans share a core, once for each span.
+    A span met with two owners repeats as a whole, as does one without an owner. Windows are hashed one by one only where different spans share a core, once for each span.
     """
     regions = hot.dropDuplicates(["r1", "r2"])
-    cells = common.materialize(common.arrow_map(regions, _cells(length), "c1 long, c2 long, s1 long, s2 long, r1 long, r2 long, low int, high int"), "cells")
-    spans = cells.groupBy("c1", "c2", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("r1", "r2", "low", "high")).alias("one"))
+    cells = common.materialize(common.arrow_map(regions, _cells(length, unit), "c1 long, c2 long, s1 long, s2 long, r1 long, r2 long, owner long, low int, high int"), "cells")
+    owners = F.min(F.coalesce("owner", F.lit(-(2**63)))).alias("least"), F.max(F.coalesce("owner", F.lit(2**63 - 1))).alias("most")
+    spans = cells.groupBy("c1", "c2", "s1", "s2").agg(*owners, F.min(F.struct("r1", "r2", "low", "high")).alias("one"))
     spans = common.materialize(spans, "spans")
     mixed = spans.groupBy("c1", "c2").agg(F.count("*").alias("m")).where("m > 1").select("c1", "c2")
-    wanted = spans.join(mixed, ["c1", "c2"]).select("one.r1", "one.r2", F.struct("s1", "s2", "one.low", "one.high").alias("cell")).groupBy("r1", "r2").agg(F.collect_list("cell").alias("cells"))
-    windows = common.arrow_map(regions.join(wanted, ["r1", "r2"]).select("region", "d_high", "cells"), _windows(length), "w1 long, w2 long, s1 long, s2 long, d int")
+    wanted = spans.join(mixed, ["c1", "c2"]).select("one.r1", "one.r2", F.struct("s1", "s2", "least", "most", "one.low", "one.high").alias("cell")).groupBy("r1", "r2").agg(F.collect_list("cell").alias("cells"))
+    windows = common.arrow_map(regions.join(wanted, ["r1", "r2"]).select("region", "d_high", "cells"), _windows(length, unit), "w1 long, w2 long, s1 long, s2 long, least long, most long, d int")
     windows = common.materialize(windows, "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    twice = windows.groupBy("w1", "w2").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("w1", "w2")
     parts = windows.join(twice, ["w1", "w2"]).select("s1", "s2", F.col("d").alias("low"), F.col("d").alias("high"))
-    whole = spans.where("n > 1").select("s1", "s2", "one.low", "one.high")
-    return cells.select("s1", "s2", "r1", "r2").join(whole.unionByName(parts), ["s1", "s2"]).select("r1", "r2", "low", "high")
+    whole = spans.where("least < most").select("s1", "s2", "one.low", "one.high")
+    return cells.select("s1", "s2", "r1", "r2").join(whole.unionByName(parts), ["s1", "s2"]).select("r1", "r2", "low", "high"), [cells, spans, windows]
+
+
+def _merged(spans: list[dict], words: bool) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for low, high in sorted((s["low"], s["high"]) for s in spans if s["words"] == words):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    return merged
 
 
 def _removed(length: int, with_text: bool):
@@ -348,45 +397,55 @@ def _removed(length: int, with_text: bool):
         for batch in batches:
             out = []
             for doc_id, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                text = text or b""
-                merged: list[list[int]] = []
-                for low, high in sorted((s["low"], s["high"]) for s in spans or ()):
-                    if merged and low <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], high)
-                    else:
-                        merged.append([low, high])
+                text, spans = text or b"", spans or []
+                merged = _merged(spans, words=False)
+                shared = sum(high - low for low, high in _merged(spans, words=True))
                 place, parts = 0, []
                 for low, high in merged:
                     parts.append(text[place:low])
                     place = high
                 kept = b"".join([*parts, text[place:]])
-                out.append((doc_id, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), len(kept), len(kept) < len(text), *[kept] * with_text))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), *[pa.binary()] * with_text)
+                out.append((doc_id, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), len(kept), len(kept) < len(text), shared, *[kept] * with_text))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), *[pa.binary()] * with_text)
             columns = zip(*out, strict=True) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "repeated", *["kept"] * with_text])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "repeated", "n_shared_words", *["kept"] * with_text])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, with_text: bool = False, split: int = SPLIT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes left) and repeated (some went) for each row, and with ``with_text`` the bytes left, as kept."""
-    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+def _repeats(data: DataFrame, length: int, k: int, split: int, words: bool) -> DataFrame:
+    """(key, span): where windows of ``length`` bytes start elsewhere too, or windows of ``length`` words in another document."""
+    unit = WORD if words else 1
     kinds = "kmer long, r1 long, r2 long, key long, at long, d_low int, d_high int"
-    met = common.materialize(common.arrow_map(data.select("key", "text"), _found(length, k), kinds), "anchors")
-    classes = met.groupBy("kmer", "r1", "r2", "d_low", "d_high").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
+    met = common.materialize(common.arrow_map(data.select("key", "text"), _found(length, k, unit), kinds), "anchors")
+    several = F.min("key") != F.max("key") if words else F.count("*") > 1
+    classes = met.groupBy("kmer", "r1", "r2", "d_low", "d_high").agg(several.alias("several"), F.min(F.struct("key", "at")).alias("one"))
     classes = common.materialize(classes, "regions")
+    # over bytes each class is its own owner
+    owner = F.when(~F.col("several"), F.col("one.key")) if words else F.col("r1")
     sizes = classes.groupBy("kmer").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = classes.join(sizes, "kmer").select(F.col("one.key").alias("key"), F.struct("kmer", "r1", "r2", F.col("one.at").alias("at"), "d_low", "d_high", (F.col("m") > split).alias("hot"), F.lit(length).alias("length")).alias("w"))
+    wanted = classes.join(sizes, "kmer").select(F.col("one.key").alias("key"), F.struct("kmer", "r1", "r2", owner.alias("owner"), F.col("one.at").alias("at"), "d_low", "d_high", (F.col("m") > split).alias("hot")).alias("w"))
     wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
-    cut = common.arrow_map(data.select("key", "text").join(wanted, "key").select("text", "wanted"), _cut, "kmer long, r1 long, r2 long, d_low int, d_high int, hot boolean, region binary")
+    cut = common.arrow_map(data.select("key", "text").join(wanted, "key").select("text", "wanted"), _cut(length, unit), "kmer long, r1 long, r2 long, owner long, d_low int, d_high int, hot boolean, region binary")
     cut = common.materialize(cut, "cut")
+    common.forget(data.sparkSession)
     ordered = cut.where("NOT hot").repartition("kmer").sortWithinPartitions("kmer")
-    ranges = common.arrow_map(ordered, _sorted(length, k), "r1 long, r2 long, ranges array<struct<low:int,high:int>>").select("r1", "r2", F.explode("ranges").alias("range"))
+    ranges = common.arrow_map(ordered, _sorted(length, k, unit), "r1 long, r2 long, ranges array<struct<low:int,high:int>>").select("r1", "r2", F.explode("ranges").alias("range"))
     ranges = ranges.select("r1", "r2", "range.low", "range.high")
-    dealt = _dealt(cut.where("hot"), length)
-    whole = classes.where("n > 1").select("r1", "r2", F.col("d_low").alias("low"), F.col("d_high").alias("high"))
+    dealt, read = _dealt(cut.where("hot"), length, unit)
+    whole = classes.where("several").select("r1", "r2", F.col("d_low").alias("low"), F.col("d_high").alias("high"))
     repeated = common.materialize(whole.unionByName(ranges).unionByName(dealt), "ranges")
-    spans = met.select("key", "at", "r1", "r2").join(repeated, ["r1", "r2"]).select("key", F.struct((F.col("at") - F.col("high")).alias("low"), (F.col("at") - F.col("low") + length).alias("high")).alias("span"))
+    common.forget(data.sparkSession, classes, cut, *read)
+    return met.select("key", "at", "r1", "r2").join(repeated, ["r1", "r2"]).select("key", F.struct(F.lit(words).alias("words"), (F.col("at") - F.col("high")).alias("low"), (F.col("at") - F.col("low") + length).alias("high")).alias("span"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, with_text: bool = False, split: int = SPLIT, words: int = WORDS, word_k: int = WORD_KMER) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes left), repeated (some went) and n_shared_words for each row, and with ``with_text`` the bytes left, as kept.
+
+    n_shared_words counts the words in passages of at least ``words`` words that another document has too, however few bytes they are; none goes for it.
+    """
+    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    spans = _repeats(data, length, k, split, words=False).unionByName(_repeats(data, words, word_k, split, words=True))
     spans = spans.groupBy("key").agg(F.collect_set("span").alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, repeated boolean" + ", kept binary" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, repeated boolean, n_shared_words long" + ", kept binary" * with_text
     return common.arrow_map(data.join(spans, "key", "left").select("doc_id", "text", "spans"), _removed(length, with_text), schema)
