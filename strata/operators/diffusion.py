@@ -1,17 +1,19 @@
 """Diffusion maps of weighted graphs and clusters on them, for all graphs at once (Coifman and Lafon 2006).
 
 Edges are (g, a, b, w), each in both directions, as for communities. The walk's matrix is made symmetric by the roots of
-the degrees; its leading eigenvectors come from subspace iteration with a Chebyshev filter (Zhou and Saad 2007). A
-product with the matrix is a join of the links with the vectors on one end and a sum by the other; a node is also linked
-to itself, so a step refers to the step before once, and a round of ``DEGREE`` steps is one plan whose links are shuffled
-once. Vectors stay distributed: what meets on the driver are the vectors' products with each other, ``width`` squared
-numbers a graph, summed up beforehand. Isolated nodes are in no edge and have no coordinates.
+the degrees; its leading eigenvectors come from subspace iteration with a Chebyshev filter (Zhou and Saad 2007). The
+filter works on each vector by itself, so vectors are dealt out ``COLUMNS`` at a time: a task holds the links of one graph
+and a few vectors, and a whole polynomial is one stage. Vectors then meet in ranges of ``ROWS`` nodes for their products.
+A graph of more than ``HELD`` links is held by no task: there a product is a join of the links with the vectors on one end
+and a sum by the other, and a node is also linked to itself, so a step refers to the step before once. What meets on the
+driver are the vectors' products with each other, ``width`` squared numbers a graph, summed up beforehand. Isolated nodes
+are in no edge and have no coordinates.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +27,10 @@ from .durable import forget, settled
 
 #: Vectors kept beyond those asked for, products in a round, the residual that is enough, and the most rounds.
 SPARE, DEGREE, RESIDUAL, ROUNDS = 10, 10, 1e-6, 60
+#: Links of a graph that a task holds (some 60 bytes each while it sorts them), vectors that it works on, and nodes whose vectors meet.
+HELD, COLUMNS, ROWS = 1 << 23, 6, 1 << 13
+#: Where a task does the products: the most of them in a round, and how many times itself a vector may take up of those before it.
+MOST_DEGREE, TAKEN_UP = 40, 1e4
 
 
 class Spectrum(NamedTuple):
@@ -84,14 +90,7 @@ def _products(state: DataFrame, width: int) -> dict[int, np.ndarray]:
                 held[int(g)] = held.get(int(g), 0) + np.stack([y.T @ y, y.T @ z, z.T @ z])
         yield pd.DataFrame([(g, x.tobytes()) for g, x in held.items()], columns=["g", "sums"])
 
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [frame["g"].iloc[0]], "sums": [np.sum([np.frombuffer(s) for s in frame["sums"]], axis=0).tobytes()]})
-
-    parts = state.select("g", *ys, *zs).mapInPandas(add, "g long, sums binary").withColumn("salt", F.spark_partition_id() % 32)
-    added: dict[int, np.ndarray] = {}
-    for g, s in parts.groupBy("g", "salt").applyInPandas(total, "g long, sums binary").toPandas().itertuples(index=False):
-        added[int(g)] = added.get(int(g), 0) + np.frombuffer(s).reshape(3, width, width)
-    return added
+    return _added(state.select("g", *ys, *zs).mapInPandas(add, "g long, sums binary").withColumn("salt", F.spark_partition_id() % 32), width)
 
 
 def _ritz(products: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,14 +121,149 @@ def _turned(state: DataFrame, turns: dict[int, np.ndarray], width: int) -> DataF
     return state.select("g", "v", *ys).mapInPandas(run, "g long, v long, " + ", ".join(f"{y} double" for y in ys))
 
 
-def spectrum(edges: DataFrame, size: int) -> Spectrum:
-    """The ``size`` greatest eigenvalues of each graph's walk, with their vectors; a graph of fewer nodes has that many.
+def _degree(ritz: np.ndarray, residuals: np.ndarray, cut: float) -> int:
+    """Products in the next round: what a residual leaves of a leading vector in the others must not outgrow them."""
+    middle, half = (cut - 1) / 2, max((cut + 1) / 2, 0.05)
+    grown = np.arccosh(np.maximum((ritz - middle) / half, 1 + 1e-9))
+    return int(np.clip((np.log(TAKEN_UP / np.maximum(residuals, 1e-8)) / grown).min(), 2, MOST_DEGREE))
 
-    A round ends with residuals of the whole graph; an error is raised where they are not small after ``ROUNDS`` rounds.
+
+def _chebyshev(multiply: Callable[[np.ndarray], np.ndarray], y: np.ndarray, cut: float, degree: int) -> np.ndarray:
+    """The filter of ``_filtered`` on vectors that a task holds."""
+    middle, half = (cut - 1) / 2, max((cut + 1) / 2, 0.05)
+    before, y = y, (multiply(y) - middle * y) / half
+    for _ in range(degree - 1):
+        before, y = y, 2 * (multiply(y) - middle * y) / half - before
+    return y
+
+
+def _packed_links(links: DataFrame) -> DataFrame:
+    """(g, a, b, w): links, some thousands a row, as bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for g, own in frame.groupby("g"):
+                yield pd.DataFrame({"g": [g], "a": [own["a"].to_numpy("<i8").tobytes()], "b": [own["b"].to_numpy("<i8").tobytes()], "w": [own["w"].to_numpy("<f8").tobytes()]})
+
+    return settled(links.select("g", "a", "b", "w").mapInPandas(run, "g long, a binary, b binary, w binary"))
+
+
+def _round(packed: DataFrame, state: DataFrame | None, wanted: dict[int, tuple[float, int]], width: int) -> DataFrame:
+    """(g, chunk, v, y, z, sums): a round's filtered vectors y of each graph and z, their products with the matrix, by ranges of nodes, and y'y, y'z and z'z of a range.
+
+    ``state`` is (g, part, chunk, y), the vectors before, and ``wanted`` has each graph's cut and degree; without them vectors are drawn.
     """
+    parts = -(-width // COLUMNS)
+    dealt = packed.withColumn("part", F.explode(F.array(*[F.lit(p) for p in range(parts)])))
+    if state is None:
+        state = packed.sparkSession.createDataFrame([], "g long, part int, chunk int, y binary")
+
+    def filtered(key: tuple, own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        g, part = int(key[0]), int(key[1])
+        columns = slice(part * COLUMNS, min(width, (part + 1) * COLUMNS))
+        a, b, w = (np.concatenate([np.frombuffer(x, kind) for x in own[c]] or [np.zeros(0, kind)]) for c, kind in (("a", "<i8"), ("b", "<i8"), ("w", "<f8")))
+        order = np.argsort(a, kind="stable")
+        nodes, begins = np.unique(a[order], return_index=True)
+        b, w = np.searchsorted(nodes, b[order]), w[order]
+        del a, order
+
+        def multiply(x: np.ndarray) -> np.ndarray:
+            return np.stack([np.add.reduceat(w * column[b], begins) for column in x])
+
+        if g in wanted:
+            held = held.sort_values("chunk")
+            y = np.concatenate([np.frombuffer(x).reshape(columns.stop - columns.start, -1) for x in held["y"]], axis=1)
+            y = _chebyshev(multiply, y, *wanted[g])
+        else:
+            y = 2 * clusterings.uniforms(nodes, 0, width)[:, columns].T - 1
+        z = multiply(y)
+        at = range(0, len(nodes), ROWS)
+        cut = lambda x: [x[..., low : low + ROWS].tobytes() for low in at]
+        return pd.DataFrame({"g": g, "chunk": range(len(at)), "part": part, "v": cut(nodes), "y": cut(y), "z": cut(z)})
+
+    def met(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("part")
+        y, z = (np.concatenate([np.frombuffer(x).reshape(-1, len(v) // 8) for x, v in zip(frame[c], frame["v"], strict=True)]) for c in "yz")
+        first = frame.iloc[0]
+        return pd.DataFrame({"g": [first["g"]], "chunk": [first["chunk"]], "v": [first["v"]], "y": [y.tobytes()], "z": [z.tobytes()], "sums": [np.stack([y @ y.T, y @ z.T, z @ z.T]).tobytes()]})
+
+    columns = "g long, chunk int, part int, v binary, y binary, z binary"
+    found = dealt.groupBy("g", "part").cogroup(state.groupBy("g", "part")).applyInPandas(filtered, columns)
+    return settled(found.groupBy("g", "chunk").applyInPandas(met, "g long, chunk int, v binary, y binary, z binary, sums binary"))
+
+
+def _added(parts: DataFrame, width: int) -> dict[int, np.ndarray]:
+    """(3, width, width) for each graph: the sums of (g, sums), of which 32 a graph at most reach the driver."""
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [frame["g"].iloc[0]], "sums": [np.sum([np.frombuffer(s) for s in frame["sums"]], axis=0).tobytes()]})
+
+    added: dict[int, np.ndarray] = {}
+    for g, s in parts.groupBy("g", "salt").applyInPandas(total, "g long, sums binary").toPandas().itertuples(index=False):
+        added[int(g)] = added.get(int(g), 0) + np.frombuffer(s).reshape(3, width, width)
+    return added
+
+
+def _dealt_again(now: DataFrame, turns: dict[int, np.ndarray], width: int) -> DataFrame:
+    """(g, part, chunk, y): the turned vectors, ``COLUMNS`` at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                turn = turns[r.g]
+                y = np.zeros((width, len(r.v) // 8))
+                y[: turn.shape[1]] = turn.T @ np.frombuffer(r.y).reshape(width, -1)
+                pieces = [y[low : low + COLUMNS].tobytes() for low in range(0, width, COLUMNS)]
+                yield pd.DataFrame({"g": r.g, "part": range(len(pieces)), "chunk": r.chunk, "y": pieces})
+
+    return now.select("g", "chunk", "v", "y").mapInPandas(run, "g long, part int, chunk int, y binary")
+
+
+def _spread(now: DataFrame, turns: dict[int, np.ndarray], width: int) -> DataFrame:
+    """(g, v, y..): the turned vectors, one row a node."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                turn = turns[r.g]
+                y = np.zeros((len(r.v) // 8, width))
+                y[:, : turn.shape[1]] = np.frombuffer(r.y).reshape(width, -1).T @ turn
+                yield pd.concat([pd.DataFrame({"g": r.g, "v": np.frombuffer(r.v, "<i8")}), pd.DataFrame(y, columns=_names("y", width))], axis=1)
+
+    return now.select("g", "v", "y").mapInPandas(run, "g long, v long, " + ", ".join(f"{y} double" for y in _names("y", width)))
+
+
+def _ended(found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], size: int, sizes: dict[int, int]) -> list[int]:
+    """The graphs whose ``size`` vectors, or as many as there are nodes, are settled."""
+    return [g for g, (_, _, r) in found.items() if len(r) >= sizes[g] or (len(r) >= size and (r[:size] <= RESIDUAL).all())]
+
+
+def _by_columns(links: DataFrame, sizes: dict[int, int], size: int) -> tuple[list[DataFrame], dict[int, np.ndarray]]:
+    """Vectors (g, v, y..) and eigenvalues of graphs whose links a task holds."""
+    width = size + SPARE
+    packed, state, wanted, values, ended, spent = _packed_links(links), None, {}, {}, [], None
+    for _ in range(ROUNDS):
+        now = _round(packed, state, wanted, width)
+        if spent is not None:
+            forget(spent)
+        found = {g: _ritz(p) for g, p in _added(now.select("g", "sums", (F.col("chunk") % 32).alias("salt")), width).items()}
+        turns = {g: turn for g, (_, turn, _) in found.items()}
+        done = _ended(found, size, sizes)
+        values |= {g: found[g][0][: min(size, sizes[g])] for g in done}
+        spent = None if done else now  # the next round is the last to read it
+        if done:  # a graph that has ended is filtered no more
+            ended.append(_spread(now.where(F.col("g").isin(done)), turns, width))
+        wanted = {g: (float(ritz[-1]), _degree(ritz[:-1], r[:-1], float(ritz[-1]))) for g, (ritz, _, r) in found.items() if g not in values}
+        if not wanted:
+            return ended, values
+        packed = packed.where(F.col("g").isin(list(wanted)))
+        state = _dealt_again(now.where(F.col("g").isin(list(wanted))), turns, width)
+    raise RuntimeError(f"eigenvectors of a graph are not settled after {ROUNDS} rounds")
+
+
+def _by_joins(links: DataFrame, roots: DataFrame, sizes: dict[int, int], size: int) -> tuple[list[DataFrame], dict[int, np.ndarray]]:
+    """Vectors (g, v, y..) and eigenvalues of graphs of any size."""
     width = size + SPARE
-    links, roots = _links(edges)
-    sizes = {int(r["g"]): int(r["n"]) for r in roots.groupBy("g").agg(F.count("*").alias("n")).collect()}  # one row a graph
     drawn = [(F.xxhash64("g", "v", F.lit(i)) / F.lit(float(2**63))).alias(y) for i, y in enumerate(_names("y", width))]
     state, cuts, values, ended, spent = roots.select("g", "v", *drawn), None, {}, [], None
     for _ in range(ROUNDS):
@@ -142,7 +276,7 @@ def spectrum(edges: DataFrame, size: int) -> Spectrum:
         now = settled(renamed)
         found = {g: _ritz(p) for g, p in _products(now, width).items()}
         state = _turned(now, {g: turn for g, (_, turn, _) in found.items()}, width)
-        done = [g for g, (_, _, r) in found.items() if (r[:size] <= RESIDUAL).all() or len(r) >= sizes[g]]
+        done = _ended(found, size, sizes)
         values |= {g: found[g][0][: min(size, sizes[g])] for g in done}
         spent = None if done else now  # the next round's first step is the last to read it
         if done:  # a graph that has ended is filtered no more
@@ -150,11 +284,27 @@ def spectrum(edges: DataFrame, size: int) -> Spectrum:
             state = state.where(~F.col("g").isin(done))
         cuts = {g: float(ritz[-1]) for g, (ritz, _, _) in found.items() if g not in values}
         if not cuts:
-            every = functools.reduce(DataFrame.unionByName, ended) if ended else state
-            return Spectrum(every.select("g", "v", *_names("y", size)).join(roots, ["g", "v"]), values, sizes)
+            return ended or [state], values
     raise RuntimeError(f"eigenvectors of a graph are not settled after {ROUNDS} rounds")
 
 
+def spectrum(edges: DataFrame, size: int) -> Spectrum:
+    """The ``size`` greatest eigenvalues of each graph's walk, with their vectors; a graph of fewer nodes has that many.
+
+    A round ends with residuals of the whole graph; an error is raised where they are not small after ``ROUNDS`` rounds.
+    """
+    links, roots = _links(edges)
+    counted = links.groupBy("g").agg(F.sum("own").cast("long").alias("n"), F.count("*").alias("links")).collect()  # one row a graph
+    sizes = {int(r["g"]): int(r["n"]) for r in counted}
+    held = [int(r["g"]) for r in counted if r["links"] <= HELD]
+    ended, values = _by_columns(links.where(F.col("g").isin(held)), sizes, size) if held else ([], {})
+    if len(held) < len(sizes) or not sizes:
+        more, others = _by_joins(links.where(~F.col("g").isin(held)), roots.where(~F.col("g").isin(held)), sizes, size)
+        ended, values = ended + more, values | others
+    every = functools.reduce(DataFrame.unionByName, ended)
+    return Spectrum(every.select("g", "v", *_names("y", size)).join(roots, ["g", "v"]), values, sizes)
+
+
 def eigengap(values: np.ndarray, nodes: int, k_max: int = K_MAX) -> int:
     """The K from 2 to min(k_max, nodes - 2) with the greatest fall after the K-th eigenvalue, ties to the smaller; 1 for fewer than four nodes."""
     most = min(k_max, nodes - 2)

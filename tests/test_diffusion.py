@@ -86,3 +86,28 @@ def test_steps_that_nothing_reads_again_leave_no_files(spark):
     assert os.path.isdir(path) and held.count() == 10
     forget(held)
     assert not os.path.exists(path)
+
+
+def test_a_round_of_products_is_one_written_table(spark, graphs, monkeypatch):
+    """Time went with the products, ten written tables a round, at some two seconds each whatever the graph's size."""
+    written, write = [], diffusion.settled
+    monkeypatch.setattr(diffusion, "settled", lambda df: written.append(1) or write(df))
+    edges = spark.createDataFrame(edges_of(3, graphs[3], 3000), SCHEMA)
+    monkeypatch.setattr(diffusion, "ROWS", 64)  # vectors of 500 nodes meet in eight ranges
+    found = diffusion.spectrum(edges, 26)
+    assert np.allclose(found.values[3], eigen(graphs[3])[0][:26], rtol=0, atol=1e-8)
+    assert len(written) <= 20
+    y = np.array([r[2:28] for r in found.vectors.orderBy("v").collect()])
+    assert np.allclose(y.T @ y, np.eye(26), atol=1e-8)
+
+
+def test_graphs_too_large_for_a_task_go_by_joins(spark, graphs, monkeypatch):
+    rows = edges_of(8, graphs[8], 8000) + edges_of(9, graphs[9], 9000)
+    monkeypatch.setattr(diffusion, "HELD", 100)  # graph 9 has seven links with its nodes' own
+    joined, by_joins = [], diffusion._by_joins
+    monkeypatch.setattr(diffusion, "_by_joins", lambda links, *more: joined.extend(r["g"] for r in links.select("g").distinct().collect()) or by_joins(links, *more))
+    found = diffusion.spectrum(spark.createDataFrame(rows, SCHEMA), 4)
+    assert joined == [8] and set(found.values) == {8, 9}
+    for g in (8, 9):
+        assert np.allclose(found.values[g], eigen(graphs[g])[0][:4], rtol=0, atol=1e-8)
+    assert {r["g"]: r["count"] for r in found.vectors.groupBy("g").count().collect()} == {8: 120, 9: 3}
