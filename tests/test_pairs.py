@@ -75,3 +75,20 @@ def test_all_pairs_of_a_class_without_moving_them(spark):
 def test_identity_precision_covers_every_class(spark):
     found = {r["coarse"]: (r["precision"], r["chance"]) for r in registry.queries()["identity_precision"](spark, SF).collect()}
     assert set(found) == {0, 1, 2, 3} and found[0] == (1.0, 1.0)
+
+
+def test_a_whole_group_is_copied_for_buckets_not_for_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vecs = rng.normal(size=(160, 8)).astype(np.float32)
+    side = spark.createDataFrame([(i, list(map(float, v)), 0) for i, v in enumerate(vecs)], "id long, v array<float>, g long").repartition(1)
+    buckets, dealt = blocks._buckets, {}
+    monkeypatch.setattr(blocks, "_buckets", lambda *a: dealt.setdefault(a[-1], buckets(*a)))
+    sent = blocks.block_runs(side, side, lambda own, others: [pd.DataFrame({"n": [len(own.ids)], "held": [sum(len(o.ids) for o in others)]})], "n long, held long", block=2, whole=True)
+    assert sent.agg(F.sum("n"), F.min("held"), F.max("held")).first() == (160, 160, 160)
+    assert dealt["q_buckets"].first()["q_buckets"] == 10  # copies of the group; its 80 blocks made 80
+    held = blocks.packed(side, [], True, 64).select(F.sum(F.length("v")).alias("n")).first()["n"]
+    assert held == 160 * 8 * 4  # single precision is not widened before it is copied
+    u = (w := vecs.astype(np.float64)) / np.linalg.norm(w, axis=1, keepdims=True)
+    first = similarity.all_ranks(side, 2).where("rank = 1").collect()
+    sims = np.round(u @ u.T, 12) - 4 * np.eye(160)
+    assert {r["a"]: r["b"] for r in first} == dict(enumerate(sims.argmax(axis=1).tolist()))
