@@ -92,3 +92,30 @@ def test_a_whole_group_is_copied_for_buckets_not_for_blocks(spark, monkeypatch):
     first = similarity.all_ranks(side, 2).where("rank = 1").collect()
     sims = np.round(u @ u.T, 12) - 4 * np.eye(160)
     assert {r["a"]: r["b"] for r in first} == dict(enumerate(sims.argmax(axis=1).tolist()))
+
+
+def test_auroc_in_rounds_equals_one_and_sends_equal_pairs_once(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    vecs, label = np.round(rng.normal(size=(120, 3)), 1), rng.integers(0, 3, 120)
+    vecs[30:70], vecs[5] = vecs[3], 0  # copies, and a row without a length
+    side = spark.createDataFrame([(i, list(map(float, v)), i % 2, int(y)) for i, (v, y) in enumerate(zip(vecs, label, strict=True))], "id long, v array<double>, g long, y int").repartition(3)
+    with np.errstate(invalid="ignore"):
+        u = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    sims, expected = np.round(u @ u.T, 9), {}
+    for g in (0, 1):
+        own = [(i, j) for i in range(120) for j in range(i + 1, 120) if i % 2 == j % 2 == g and 5 not in (i, j)]
+        yes, no = (np.array([sims[p] for p in own if (label[p[0]] == label[p[1]]) == same]) for same in (True, False))
+        expected[g] = ((yes[:, None] > no) + (yes[:, None] == no) / 2).mean()
+    rounds, pack = [], similarity._packed_pairs
+    monkeypatch.setattr(similarity, "_packed_pairs", lambda *a: rounds.append(pack(*a)) or rounds[-1])
+    for block in (7, 1000):
+        for most in (1 << 30, 1500):  # all pairs at once, and some 1,500 of the 3,500 at a time
+            rounds.clear()
+            monkeypatch.setattr(similarity, "ROUND_PAIRS", most)
+            monkeypatch.setattr(similarity, "ROW_PAIRS", 1)
+            found = {r["g"]: r["auroc"] for r in similarity.pair_auroc(side, "y", block).collect()}
+            assert found == {g: pytest.approx(x, abs=1e-12) for g, x in expected.items()}
+            sent = [r.select(F.sum(F.when(F.col("times").isNull(), F.length("low") / 2).otherwise(0)), F.count("times")).first() for r in rounds]
+            assert len(rounds) == 1 if most > 1500 else len(rounds) > 1
+            if most == 1500 and block == 1000:
+                assert max(n or 0 for n, _ in sent) < 2000 and sum(t for _, t in sent) > 0
