@@ -119,3 +119,15 @@ def test_auroc_in_rounds_equals_one_and_sends_equal_pairs_once(spark, monkeypatc
             assert len(rounds) == 1 if most > 1500 else len(rounds) > 1
             if most == 1500 and block == 1000:
                 assert max(n or 0 for n, _ in sent) < 2000 and sum(t for _, t in sent) > 0
+
+
+def test_files_hold_the_scores_of_both_directions_once(spark, tmp_path):
+    vecs = np.random.default_rng(13).normal(size=(600, 16))
+    vecs[7] = 0
+    side = spark.createDataFrame([(i, list(map(float, v)), 4) for i, v in enumerate(vecs)], "id long, v array<double>, g long").repartition(1)
+    similarity.pair_scores(side, 100).select("a", "b", F.round("z", 5).alias("z")).coalesce(1).write.parquet(str(tmp_path / "z"))
+    found = spark.read.parquet(str(tmp_path / "z")).toPandas()
+    assert len(found) == len(found[["a", "b"]].drop_duplicates()) == 599 * 598 and not (found["a"] == found["b"]).any()
+    both = found.merge(found, left_on=["a", "b"], right_on=["b", "a"])
+    assert (both["z_x"] == both["z_y"]).all()
+    assert sum(p.stat().st_size for p in (tmp_path / "z").glob("*.parquet")) < 7 * len(found)  # over 8 bytes a row in the order of the blocks
