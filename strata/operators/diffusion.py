@@ -27,7 +27,7 @@ from .durable import forget, settled
 
 #: Vectors kept beyond those asked for, products in a round, the residual that is enough, and the most rounds.
 SPARE, DEGREE, RESIDUAL, ROUNDS = 10, 10, 1e-6, 60
-#: Links of a graph that a task holds (some 60 bytes each while it sorts them), vectors that it works on, and nodes whose vectors meet.
+#: Links of a graph that a task holds (some 80 bytes each, by size, while it sorts them), vectors that it works on, and nodes whose vectors meet.
 HELD, COLUMNS, ROWS = 1 << 23, 6, 1 << 13
 #: Where a task does the products: the most of them in a round, and how many times itself a vector may take up of those before it.
 MOST_DEGREE, TAKEN_UP = 40, 1e4
